@@ -17,6 +17,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import measure
+
+    return measure(c.load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    docs = c.load(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    return near_duplicates(docs, words=3, num=85, den=100).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import read_media, to_media
 
@@ -44,5 +57,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(c.load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_media_columns, op7_quality_rules, op8_token_counts, op9_packing)}
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import filter_urls
+
+    return filter_urls(c.load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op4_near_dedup, op5_media_columns, op7_quality_rules, op8_token_counts, op9_packing, op10_url_filters)}
 ORACLE: dict[str, str] = {}
