@@ -23,6 +23,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(c.load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import digest
+
+    return digest(c.load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -37,6 +43,12 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_media(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "rate")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_digest
+
+    return line_digest(c.load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import BASE, judge
 
@@ -63,5 +75,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(c.load(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op4_near_dedup, op5_media_columns, op7_quality_rules, op8_token_counts, op9_packing, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_piece_codec, op4_near_dedup, op5_media_columns, op6_line_dedup, op7_quality_rules, op8_token_counts, op9_packing, op10_url_filters)}
 ORACLE: dict[str, str] = {}
