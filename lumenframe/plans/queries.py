@@ -266,11 +266,11 @@ def matrix_gram(spark, d):
     return matrix.multiply(matrix.transpose(m), m).withColumn("value", r("value", 4))
 
 
-@query("SELECT o_orderkey, round(o_totalprice * 149597870700.0::DOUBLE, -3) AS metres, round(o_totalprice / 149597870700.0::DOUBLE * 1e9, 9) AS au9, round(o_totalprice / 9460730472580800.0::DOUBLE * 1e15, 9) AS ly15, round(o_totalprice / (149597870700.0::DOUBLE * 648000.0::DOUBLE / pi()) * 1e15, 9) AS pc15, round(o_totalprice / 1000.0, 9) AS km FROM orders")
+@query("SELECT o_orderkey, (o_totalprice * 149597870700.0::DOUBLE) AS metres, (o_totalprice / 149597870700.0::DOUBLE * 1e9) AS au9, (o_totalprice / 9460730472580800.0::DOUBLE * 1e15) AS ly15, round(o_totalprice / (149597870700.0::DOUBLE * 648000.0::DOUBLE / pi()) * 1e15, 9) AS pc15, (o_totalprice / 1000.0) AS km FROM orders")
 def unit_convert(spark, d):
     t = table(spark, d, "orders")
     x = F.col("o_totalprice")
-    return t.select("o_orderkey", F.round(A.au2m(x), -3).alias("metres"), r(A.m2au(x) * 1e9, 9).alias("au9"), r(A.m2ly(x) * 1e15, 9).alias("ly15"), r(A.m2pc(x) * 1e15, 9).alias("pc15"), r(quantity(x, "m").to("km"), 9).alias("km"))
+    return t.select("o_orderkey", A.au2m(x).alias("metres"), (A.m2au(x) * 1e9).alias("au9"), (A.m2ly(x) * 1e15).alias("ly15"), (A.m2pc(x) * 1e15).alias("pc15"), quantity(x, "m").to("km").alias("km"))
 
 
 @query(
@@ -302,7 +302,7 @@ def electrical(spark, d):
 
 
 @query(
-    "SELECT l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 5) AS rho, round((l_extendedprice / l_quantity) * l_tax * l_quantity / 0.001, 4) AS re, round(0.5 * (l_extendedprice / l_quantity) * l_tax * l_tax, 5) AS pd, round(1000.0 + 0.5 * (l_extendedprice / l_quantity) * l_tax * l_tax, 5) AS total, round(8 * 10.0 * l_quantity * 0.0001 / (pi() * power(0.5, 4)), 5) AS pipe FROM lineitem"
+    "SELECT l_orderkey, l_linenumber, (l_extendedprice / l_quantity) AS rho, ((l_extendedprice / l_quantity) * l_tax * l_quantity / 0.001) AS re, (0.5 * (l_extendedprice / l_quantity) * l_tax * l_tax) AS pd, (1000.0 + 0.5 * (l_extendedprice / l_quantity) * l_tax * l_tax) AS total, (8 * 10.0 * l_quantity * 0.0001 / (pi() * power(0.5, 4))) AS pipe FROM lineitem"
 )
 def fluids(spark, d):
     t = table(spark, d, "lineitem")
@@ -310,7 +310,7 @@ def fluids(spark, d):
     rho = D.fluid_density(quantity("l_extendedprice", "kg"), U.Quantity(q, U.VOLUME))
     v, mu = U.Quantity(F.col("l_tax"), U.SPEED), U.Quantity(F.lit(0.001), U.DYNAMIC_VISCOSITY)
     drop = D.fluid_pipe_pressure_drop(U.Quantity(F.lit(1.0), U.DENSITY), U.Quantity(F.lit(10.0), U.DYNAMIC_VISCOSITY), quantity(q, "m"), quantity(0.5, "m"), U.Quantity(F.lit(0.0001), U.FLOW))
-    return t.select("l_orderkey", "l_linenumber", r(rho.column, 5).alias("rho"), r(D.fluid_reynolds(rho, v, quantity(q, "m"), mu).column, 4).alias("re"), r(D.fluid_dynamic_pressure(rho, v).column, 5).alias("pd"), r(D.fluid_bernoulli_total_pressure(quantity(1000.0, "Pa"), rho, v).column, 5).alias("total"), r(drop.column, 5).alias("pipe"))
+    return t.select("l_orderkey", "l_linenumber", rho.column.alias("rho"), D.fluid_reynolds(rho, v, quantity(q, "m"), mu).column.alias("re"), D.fluid_dynamic_pressure(rho, v).column.alias("pd"), (D.fluid_bernoulli_total_pressure(quantity(1000.0, "Pa"), rho, v).column).alias("total"), drop.column.alias("pipe"))
 
 
 @query("SELECT * FROM (VALUES ('H2O', 18.015), ('C6H12O6', 180.156), ('Ca(OH)2', 74.092), ('NaCl', 58.44)) t(formula, grams)")
