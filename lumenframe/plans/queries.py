@@ -266,7 +266,7 @@ def matrix_gram(spark, d):
     return matrix.multiply(matrix.transpose(m), m).withColumn("value", r("value", 4))
 
 
-@query("SELECT o_orderkey, (o_totalprice * 149597870700.0::DOUBLE) AS metres, (o_totalprice / 149597870700.0::DOUBLE * 1e9) AS au9, (o_totalprice / 9460730472580800.0::DOUBLE * 1e15) AS ly15, round(o_totalprice / (149597870700.0::DOUBLE * 648000.0::DOUBLE / pi()) * 1e15, 9) AS pc15, (o_totalprice / 1000.0) AS km FROM orders")
+@query("SELECT o_orderkey, (o_totalprice * 149597870700.0::DOUBLE) AS metres, (o_totalprice / 149597870700.0::DOUBLE * 1e9) AS au9, (o_totalprice / 9460730472580800.0::DOUBLE * 1e15) AS ly15, (o_totalprice / (149597870700.0::DOUBLE * 648000.0::DOUBLE / pi()) * 1e15) AS pc15, (o_totalprice / 1000.0) AS km FROM orders")
 def unit_convert(spark, d):
     t = table(spark, d, "orders")
     x = F.col("o_totalprice")
