@@ -11,7 +11,7 @@ from ..operators.compare import baseline_compare
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
     """(path, size, sha256) of every file below a folder that Spark can read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = F.lit(folder.rstrip("/") + "/")
+    root = folder.rstrip("/") + "/"
     path = F.substring_index(F.col("path"), root, -1)
     return files.select(path.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 

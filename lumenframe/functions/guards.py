@@ -18,8 +18,8 @@ def col(x) -> Column:
 
 
 def guard(value: Column, ok: Column, message: str) -> Column:
-    """value where ok, else an error; NULL stays NULL."""
-    return F.when(ok, value).when(value.isNull() | ok.isNull(), F.lit(None)).otherwise(F.raise_error(F.lit(message)))
+    """value where ok, an error where not; NULL where ok cannot be told, as for a NULL input."""
+    return F.when(ok, value).when(ok.isNull(), F.lit(None)).otherwise(F.raise_error(F.lit(message)))
 
 
 def finite(value: Column, what: str = "result") -> Column:
