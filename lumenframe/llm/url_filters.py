@@ -78,7 +78,7 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     if share.limit(1).count() == 0:
         return rank
     for i in range(rounds):
-        sent = rank.join(share, (rank["kind"] == share["kind"]) & (rank["host"] == share["src"])).select(share["kind"], F.col("dst").alias("host"), (F.col("rank") * F.col("w")).alias("rank"))
+        sent = rank.withColumnRenamed("host", "src").join(share, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("w")).alias("rank"))
         rank = base.unionByName(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if i % 4 == 3 or i == rounds - 1:
             rank = c.saved(rank, f"rank{i}")
