@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .guards import col, finite, guard
+from .guards import col, finite, guard, let
 from .math import acosr, atan2r, num
 
 AU_M = 149597870700.0
@@ -52,11 +52,6 @@ def magnitude(a) -> Column:
     return vector_norm(a)
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def vector_norm(a) -> Column:
     """Euclidean norm, scaled by the largest entry so that squares neither overflow nor vanish."""
     a = col(a).cast("array<double>")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DataRefusal
-from .guards import col, guard
+from .guards import col, guard, let
 
 SAFE = 2**53 - 1
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -64,9 +64,13 @@ def str_compare(a, b) -> Column:
 
 def _byte_groups(s, base: int, width: int) -> Column:
     """UTF-8 bytes of s, each as width digits in base."""
-    code = F.hex(F.encode(col(s), "UTF-8"))
-    pairs = F.when(F.length(code) > 0, F.sequence(F.lit(1), F.length(code) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(pairs, lambda i: F.lpad(F.conv(F.substring(code, i, F.lit(2)), 16, base), width, "0")), "")
+    none = F.array().cast("array<int>")
+
+    def groups(code: Column) -> Column:
+        pairs = F.when(F.length(code) > 0, F.sequence(F.lit(1), F.length(code) - 1, F.lit(2))).otherwise(none)
+        return F.array_join(F.transform(pairs, lambda i: F.lpad(F.conv(F.substring(code, i, F.lit(2)), 16, base), width, "0")), "")
+
+    return let(F.hex(F.encode(col(s), "UTF-8")), groups)
 
 
 def str_to_hex(s) -> Column:
@@ -82,10 +86,14 @@ def str_to_binary(s) -> Column:
 
 
 def _from_groups(s, base: int, width: int, pattern: str, name: str) -> Column:
-    s = col(s)
-    at = F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s) - width + 1, F.lit(width))).otherwise(F.array().cast("array<int>"))
-    code = F.array_join(F.transform(at, lambda i: F.lpad(F.conv(F.substring(s, i, F.lit(width)), base, 16), 2, "0")), "")
-    return guard(F.decode(F.unhex(guard(code, s.rlike(pattern), f"G601: {name} needs whole byte groups")), "UTF-8"), s.isNotNull(), name)
+    none = F.array().cast("array<int>")
+
+    def plain(t: Column) -> Column:
+        at = F.when(F.length(t) > 0, F.sequence(F.lit(1), F.length(t) - width + 1, F.lit(width))).otherwise(none)
+        code = F.array_join(F.transform(at, lambda i: F.lpad(F.conv(F.substring(t, i, F.lit(width)), base, 16), 2, "0")), "")
+        return F.decode(F.unhex(code), "UTF-8")
+
+    return let(col(s), lambda s: let(guard(s, s.rlike(pattern), f"G601: {name} needs whole byte groups"), plain))
 
 
 def str_from_hex(s) -> Column:
@@ -107,9 +115,13 @@ def str_to_b64(s) -> Column:
 
 def str_from_b64(s) -> Column:
     """Canonical base64 only: decoding and encoding again gives the same text."""
-    s = col(s)
-    raw = F.unbase64(guard(s, s.rlike(r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"), "G601: base64 text is malformed"))
-    return guard(F.decode(raw, "UTF-8"), F.replace(F.base64(raw), F.lit("\r\n"), F.lit("")) == s, "G601: base64 text is not canonical")
+    form = r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
+
+    def checked(s: Column) -> Column:
+        raw = F.unbase64(guard(s, s.rlike(form), "G601: base64 text is malformed"))
+        return let(raw, lambda r: guard(F.decode(r, "UTF-8"), F.replace(F.base64(r), F.lit("\r\n"), F.lit("")) == s, "G601: base64 text is not canonical"))
+
+    return let(col(s), checked)
 
 
 def to_base(n, base: int) -> Column:
