@@ -197,3 +197,15 @@ def interpolate(template: str, **columns) -> Column:
         parts.append(F.format_string(f"%.{m[2]}f", value.cast("double")) if m[2] else value.cast("string"))
         at = m.end()
     return F.concat(*parts, F.lit(template[at:]))
+
+
+def printf(template: str, *columns) -> Column:
+    """Text from a template with %s, %f, %.Nf and %%; any other directive is refused."""
+    kinds = re.findall(r"%(?:%|s|(?:\.\d{1,2})?f|.?)", template)
+    if any(not re.fullmatch(r"%(%|s|(\.\d{1,2})?f)", k) for k in kinds):
+        raise DataRefusal(f"unsupported directive in {template!r}")
+    wanted = [k for k in kinds if k != "%%"]
+    if len(wanted) != len(columns):
+        raise DataRefusal(f"{len(wanted)} directives for {len(columns)} values")
+    values = [col(c).cast("double") if k.endswith("f") else col(c).cast("string") for k, c in zip(wanted, columns, strict=True)]
+    return F.format_string(template, *values)

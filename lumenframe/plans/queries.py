@@ -17,7 +17,7 @@ from ..functions import math as M
 from ..functions import text as X
 from ..functions import units as U
 from ..functions.units import quantity
-from ..operators import compare, join, matrix, random, select, stats
+from ..operators import compare, cube, join, matrix, random, select, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -363,6 +363,15 @@ def row_ordinals(spark, d):
     return rows.select(F.col("_ord").cast("long").alias("pos"), "c_custkey", "c_acctbal")
 
 
+@query(
+    "WITH c AS (SELECT generate_subscripts(embedding, 1) - 1 AS channel, unnest(embedding)::DOUBLE AS v, sqrt(pow(vec_id % 24 - 11.5, 2) + pow(vec_id // 24 - 11.5, 2)) AS d FROM embeddings WHERE vec_id < 576) SELECT channel::INT AS channel, count(*) FILTER (d < 6) AS pixels, round(median(v) FILTER (d >= 9 AND d < 14), 9) AS background, round(sum(v) FILTER (d < 6) - count(*) FILTER (d < 6) * median(v) FILTER (d >= 9 AND d < 14), 6) AS flux FROM c GROUP BY 1"
+)
+def cube_aperture(spark, d):
+    t = table(spark, d, "embeddings").where("vec_id < 576")  # the cube's own field of 24 x 24 pixels
+    rows = t.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("channel", "value"), (F.col("vec_id") % 24).alias("x"), F.expr("vec_id div 24").alias("y"))
+    return cube.aperture_flux(rows, 11.5, 11.5, 6.0).withColumns({"background": r("background", 9), "flux": r("flux")})
+
+
 @query()
 def rng_uniform(spark, d):
     return random.uniform_frame(spark, 42, 54, 100_000)

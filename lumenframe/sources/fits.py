@@ -307,6 +307,23 @@ class FitsSource(DataSource):
         return _TableReader(self.options["path"], h, cols, schema, max(1, size // max(1, h.row_bytes)))
 
 
+def cell_as_text(v) -> str:
+    """Exact text of a cell: integers in full, shortest decimals, T or F, null as \\N."""
+    if v is None:
+        return "\\N"
+    if isinstance(v, bool):
+        return "T" if v else "F"
+    return repr(v) if isinstance(v, float) else str(v)
+
+
+def text_rows(path: str, h: Hdu, columns: list[Column]):
+    """Rows of a table as texts, one chunk of rows in memory at a time."""
+    reader = _TableReader(path, h, columns, T.StructType([T.StructField("_ord", T.LongType())] + [T.StructField(c.name, c.spark_type) for c in columns]), h.rows or 1)
+    for batch in reader.read(_Range(0, h.rows)):
+        for row in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+            yield [cell_as_text(v) for v in row]
+
+
 def read(spark: SparkSession, path: str, hdu: int = 0, columns: list[str] | None = None, bytes_per_partition: int = 64 << 20) -> DataFrame:
     spark.dataSource.register(FitsSource)
     r = spark.read.format("lumen_fits").option("path", path).option("hdu", str(hdu)).option("bytes_per_partition", str(bytes_per_partition))

@@ -83,3 +83,19 @@ def sampled_scatter(df: DataFrame, x: str, y: str, count: int, folder: str, name
         raise DataRefusal("at most 100000 points")
     rows = stats.even_rows(df.select("_ord", x, y), count).where(F.col(x).isNotNull() & F.col(y).isNotNull()).orderBy("_ord").collect()
     return scatter(folder, name, [float(r[x]) for r in rows], [float(r[y]) for r in rows], title, x, y)
+
+
+def fits_histogram(spark, path: str, hdu: int, column: str, bins: int, count: int, folder: str, name: str, title: str) -> str:
+    """Histogram of an even sample of a table's rows; a constant sample lands in the middle bin."""
+    from . import fits
+
+    rows = stats.even_rows(fits.read(spark, path, hdu, [column]), count)
+    label = fits.unit(path, hdu, "table").column(column).name
+    return histogram(rows.where(F.col(f"`{label}`").isNotNull()), label, bins, folder, name, title, label, constant_middle=True)
+
+
+def fits_scatter(spark, path: str, hdu: int, x: str, y: str, count: int, folder: str, name: str, title: str) -> str:
+    from . import fits
+
+    h = fits.unit(path, hdu, "table")
+    return sampled_scatter(fits.read(spark, path, hdu, [x, y]), h.column(x).name, h.column(y).name, count, folder, name, title)

@@ -59,6 +59,13 @@ def test_interpolation(one):
     assert one(X.interpolate("{a} is {b:.2f}!", a=F.lit("x"), b=F.lit(1.005))) in ("x is 1.00!", "x is 1.01!")
 
 
+def test_printf(one):
+    assert one(X.printf("%s: %.2f%% of %f", F.lit("x"), F.lit(12.345), F.lit(1))) in ("x: 12.35% of 1.000000", "x: 12.34% of 1.000000")
+    for template, values in (("%d", [F.lit(1)]), ("%s", []), ("%5s", [F.lit("a")]), ("100%", [])):
+        with pytest.raises(Refusal):
+            X.printf(template, *values)
+
+
 def test_math_domains(one, refused):
     for f, x in ((M.ln, 0.0), (M.log10, -1.0), (M.sqrt, -1.0), (M.asin, 2.0), (M.acosd, -1.5), (M.exp, 1e4)):
         refused(lambda f=f, x=x: one(f(F.lit(x))))

@@ -11,7 +11,7 @@ from lumenframe.errors import ArtifactRefusal, DataRefusal, LedgerRefusal
 from lumenframe.evidence import inventory, receipts
 from lumenframe.operators import select
 from lumenframe.sources import arrays, delimited, ecsv, fits, plots, sinks
-from lumenframe.streaming.batches import Batches, stream_copy
+from lumenframe.streaming.batches import Batches, FitsBatchReader, stream_copy
 
 
 def put(path, data):
@@ -96,6 +96,12 @@ def test_fits(spark, tmp_path):
     out = sinks.export(fits.select_rows(spark, p, 1, ["OBJECT", "Z"], select.where("QUALITY", "!=", 4)), str(tmp_path), "out.csv", ["OBJECT", "Z"])
     assert open(out, encoding="utf-8").read() == 'OBJECT,Z\n"a,b",1.5\n'
     assert fits.header(p, "BSCALE") == 2.0
+    r = FitsBatchReader(p, 1, ["OBJECT", "z", "SOURCE_ID", "VALID"], 2, 1000, 1 << 20)
+    assert [row for batch in r for row in batch] == [["a,b", "1.5", str(2**53 + 1), "T"], ['q"', "\\N", str(-(2**63)), "F"], ["", "-0.5", "7", "\\N"]]
+    r.close()
+    h = plots.fits_histogram(spark, p, 1, "Z", 2, 3, str(tmp_path), "z.svg", "z")
+    assert json.load(open(h + ".json", encoding="utf-8"))["counts"] == [1, 1]
+    assert os.path.exists(plots.fits_scatter(spark, p, 1, "source_id", "Z", 3, str(tmp_path), "s.svg", "s"))
 
 
 def test_fits_refuses(tmp_path, spark):
