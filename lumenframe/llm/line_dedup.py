@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as c
-from .linking import components
+from .linking import components, sample
 
 MIN_CHARS = 16
 SHINGLE = 8
@@ -59,15 +59,28 @@ def content_ids(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def shingles(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): every SHINGLE-character string of each line, hashed on its bytes."""
-    char = np.flatnonzero((low & 0xC0) != 0x80)
-    a, z = np.searchsorted(char, s), np.searchsorted(char, e)
-    n = np.maximum(z - a - SHINGLE + 1, 1)
-    bounds = np.r_[0, np.cumsum(n)]
-    at = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - a, n)
-    edge = np.r_[char, len(low)]
-    stop = np.minimum(edge[np.minimum(at + SHINGLE, len(char))], np.repeat(e, n))
-    return c.span_hashes(low, char[at], stop), bounds
+    """(hashes, bounds): every SHINGLE-character string of each line, lines being apart and at least that long.
+
+    A character's code is a hash of its bytes, and a shingle's a sum of its
+    characters' codes times powers, taken from running sums over the block.
+    """
+    head = (low & 0xC0) != 0x80
+    char = np.flatnonzero(head)
+    if len(char) == len(low):
+        code, a, z = c.BYTE_CODE[low], s, e
+    else:
+        number = np.cumsum(head) - 1
+        code = np.add.reduceat(c.BYTE_CODE[low] * c.powers(8)[0][np.minimum(np.arange(len(low)) - char[number], 7)], char)
+        a, z = np.searchsorted(char, s), np.searchsorted(char, e)
+    n = len(code) - SHINGLE + 1
+    up, down = c.powers(len(code) + 1)
+    total = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(code * up[:-1], out=total[1:])
+    h = c.mix64((total[SHINGLE:] - total[:-SHINGLE]) * down[:n])
+    inside = np.zeros(n + 1, np.int8)
+    inside[a] += 1
+    np.add.at(inside, z - SHINGLE + 1, -1)
+    return h[np.cumsum(inside[:-1], dtype=np.int8).view(bool)], np.r_[0, np.cumsum(z - a - SHINGLE + 1)]
 
 
 def band_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -86,7 +99,7 @@ def band_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line, node, size, keys) of each line to judge; keys only where its task first meets the content."""
+    """(doc_id, line, node, keys) of each line to judge; keys only where its task first meets the content."""
     seen: set[int] = set()
     for batch in batches:
         ids = batch.column(0)
@@ -107,12 +120,11 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     new[i] = True
             if len(seen) > 1 << 21:
                 seen.clear()
-            size = wide[e] - wide[s] - SHINGLE + 1
             keys = np.zeros((0, BANDS), np.int64)
             if new.any():
                 keys = band_keys(*shingles(low, s[new], e[new]))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(new)].astype(np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(b.rows.start + doc)), pa.array(line), pa.array(node), pa.array(size), lists], ["doc_id", "line", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(b.rows.start + doc)), pa.array(line), pa.array(node), lists], ["doc_id", "line", "node", "keys"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +141,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_sets(contents: list[bytes]) -> list[np.ndarray]:
-    low = np.frombuffer(b"".join(contents), np.uint8)
-    e = np.cumsum([len(x) for x in contents])
-    h, bounds = shingles(low, e - np.array([len(x) for x in contents]), e)
+    low = np.frombuffer(b"\n".join(contents), np.uint8)
+    size = np.array([len(x) for x in contents])
+    e = np.cumsum(size + 1) - 1
+    h, bounds = shingles(low, e - size, e)
     return [np.unique(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
@@ -147,27 +160,37 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            sets = exact_sets(batch.column(1).slice(lo, 512).to_pylist())
+            bound, held = zip(*[sample(np.sort(s >> _U(1))) for s in sets], strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), pa.array([len(s) for s in sets], pa.int64()), pa.array(bound, pa.int64()), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))], ["node", "n", "bound", "held"])
+
+
 def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, dropped): all judged lines, and (doc_id, line) of those that do not stay."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = c.saved(docs.where("text is not null").mapInArrow(_emit, f"doc_id {kind}, line long, node long, size long, keys array<long>"), "lines")
-    postings = lines.where(F.size("keys") > 0).select(F.col("node"), F.col("size"), F.explode("keys").alias("key"))
-    # one row per node and list whatever the number of tasks that met it; lists of one node link nothing
+    lines = c.saved(docs.where("text is not null").mapInArrow(_emit, f"doc_id {kind}, line long, node long, keys array<long>"), "lines")
+    postings = lines.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
+    # a list that several tasks met with one node only links nothing
     met = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    shared = postings.join(met, "key").select("key", "node", "size")
-    place = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("at"))
+    shared = c.saved(postings.join(met, "key").select("key", "node").distinct(), "shared")
+    place = c.saved(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("at")), "places")
+    wanted = shared.select("node").distinct()
+    where = wanted.join(place, "node").select("at.doc_id", "at.line").distinct()
+    found = docs.join(where, docs["doc_id"].eqNullSafe(where["doc_id"])).select("text", "line").mapInArrow(_texts, "node long, content binary")
+    texts = c.saved(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = c.saved(pairs, "line-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        where = wanted.join(place, "node").select("at.doc_id", "at.line").distinct()
-        found = docs.join(where, docs["doc_id"].eqNullSafe(where["doc_id"])).select("text", "line").mapInArrow(_texts, "node long, content binary")
-        texts = c.saved(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
         ta, tb = (texts.select(F.col("node").alias(s), F.col("content").alias(f"t{s}")) for s in "ab")
         return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
 
-    label = components(shared, verify)
+    def values(nodes: DataFrame) -> DataFrame:
+        return texts.join(nodes, "node").select("node", "content").mapInArrow(_samples, "node long, n long, bound long, held array<long>")
+
+    label = components(shared, verify, values, NUM, DEN)
     # a content stands for itself unless a component holds it; the first line of each component stays
     node = place.join(label, "node", "left").select("node", "at", F.coalesce("comp", "node").alias("comp"))
     first = node.groupBy("comp").agg(F.min("at").alias("first"))

@@ -3,43 +3,103 @@
 Every list is first compared with two of its members only (the least and the
 greatest), so a list of any length costs two pairs a member. What these
 verified links join is one component. Pairs inside a component need no
-comparison any more; pairs of members of one list that lie in different
-components are then compared in full, so no link between different
-components is lost. A group of thousands of near copies is thus settled in
-the first round, and only lists that mix unlike members reach the second.
+comparison any more. Members of lists that still mix components are compared
+in two ways. Pairs that share a rare value (one that at most ``RARE`` of these
+members hold) come from the rare values' own short lists, so their number is
+linear. A pair that shares no rare value has no more than the frequent values
+in its intersection; members of one list are paired only where that bound
+allows a link. Together these are all pairs that can link, so no link between
+different components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 
+SAMPLE = 256
+RARE = 8
 
-def components(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable | None = None) -> DataFrame:
-    """(node, comp) of the nodes that have a verified link, from lists(key, node, size).
+
+def sample(values: np.ndarray) -> tuple[int, np.ndarray]:
+    """(bound, held) of a set of sorted 63-bit hash values.
+
+    About SAMPLE values lie up to bound (all of a smaller set); held are
+    those up to twice that bound, so that a set of up to twice the size holds
+    every value that a smaller one is judged by.
+    """
+    level = max(0, (len(values) - 1) // SAMPLE).bit_length()
+    top = lambda k: (1 << (63 - k)) - 1
+    return top(level), values[: np.searchsorted(values, np.uint64(top(max(0, level - 1))), "right")]
+
+
+def _rooms(sets: DataFrame, rare: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, n, room, whole): room is the most values of a node that are not rare.
+
+    A sample that is the whole set counts exactly; of a larger set the share
+    of rare values is taken five standard deviations lower.
+    """
+    own = rare.where("x <= bound").groupBy("node").agg(F.count("*").alias("u"))
+    p = 1 - num / den
+    m = F.size(F.filter("held", lambda x: x <= F.col("bound")))
+    u = F.coalesce("u", F.lit(0))
+    part = F.greatest(F.lit(0.0), u / m - 5 * F.sqrt(F.lit(p * (1 - p)) / m))
+    whole = (F.size("held") == F.col("n")) & (m == F.col("n"))
+    lost = F.when(whole, u).when(m > 0, F.floor(F.col("n") * part)).otherwise(0)
+    return sets.join(own, "node", "left").select("node", "n", (F.col("n") - lost).alias("room"), whole.alias("whole"))
+
+
+def _cross_pairs(placed: DataFrame, values: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """(a, b): pairs of different components, from lists(key, node, comp) that mix some, which may link."""
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    rest = c.saved(placed.join(mixed, "key"), "mixed")
+    sets = c.saved(values(rest.select("node").distinct()), "samples")
+    posts = sets.select("node", "bound", F.explode("held").alias("x"))
+    counts = posts.groupBy("x").agg(F.count("*").alias("k")).where(F.col("k") <= RARE)
+    rare = c.saved(posts.join(counts, "x"), "rare")
+    nodes = _rooms(sets, rare, num, den).join(rest.select("node", "comp").distinct(), "node")
+    nodes = c.saved(nodes, "rooms")
+
+    def side(rows: DataFrame, s: str, *more) -> DataFrame:
+        return rows.select(F.col(rows.columns[0]).alias("on"), F.col("node").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("room").alias(f"r{s}"), F.col("whole").alias(f"w{s}"), *more)
+
+    def allowed(more):
+        most = F.least(F.col("rx"), F.col("ry")) + more
+        return den * most >= num * (F.col("nx") + F.col("ny") - most)
+
+    sized = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
+    short = rare.where("k > 1").select("x", "node").join(nodes, "node").select("x", "node", "comp", "n", "room", "whole")
+    x, y = side(short, "x"), side(short, "y")
+    met = x.join(y, (x["on"] == y["on"]) & (F.col("cx") < F.col("cy")) & sized).groupBy("x", "y", "nx", "ny", "rx", "ry", "wx", "wy").agg(F.count("*").alias("s"))
+    some = met.where(~(F.col("wx") & F.col("wy")) | allowed(F.col("s"))).select("x", "y")
+    # a pair is taken in the least of the lists that both stand in, so it is made once
+    keys = rest.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    able = nodes.where(den * F.col("room") >= num * F.col("n")).join(keys, "node").withColumn("key", F.explode("keys")).select("key", "node", "comp", "n", "room", "whole", "keys")
+    x, y = (side(able, t, F.col("keys").alias(f"k{t}")) for t in "xy")
+    once = F.element_at(F.array_intersect("kx", "ky"), 1) == x["on"]
+    none = x.join(y, (x["on"] == y["on"]) & (F.col("cx") < F.col("cy")) & sized & allowed(F.lit(0)) & once).select("x", "y")
+    return some.unionByName(none).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def components(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], values: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """(node, comp) of the nodes that have a verified link, from lists(key, node).
 
     verify takes distinct pairs (a, b) with a < b and returns those that
-    link; may_link(size_a, size_b) is a cheap necessary condition on sizes.
+    link, that is den * intersection >= num * union of their sets.
     """
-    lists = c.saved(lists.select("key", "node", "size").distinct(), "lists")
+    lists = c.saved(lists.select("key", "node").distinct(), "lists")
     ends = lists.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     hub = lists.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node <> other")
     first = c.saved(hub.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "hub-pairs")
     links = c.saved(verify(first), "hub-links")
     label = c.connected_components(links)
     placed = c.saved(lists.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    rest = placed.join(mixed, "key")
-    left = rest.select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"))
-    right = rest.select("key", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"))
-    cross = (left["key"] == right["key"]) & (F.col("cx") < F.col("cy"))
-    if may_link is not None:
-        cross = cross & may_link(F.col("sx"), F.col("sy"))
-    pairs = left.join(right, cross).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = _cross_pairs(placed, values, num, den)
     second = c.saved(pairs.join(first, ["a", "b"], "left_anti"), "cross-pairs")
     if second.limit(1).count() == 0:
         return label

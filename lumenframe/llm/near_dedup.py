@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
-from .linking import components
+from .linking import components, sample
 
 SKETCH = 48
 SLACK = 0.3
@@ -72,15 +72,15 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _inverted_lists(sets: DataFrame) -> DataFrame:
-    values = sets.select(F.col("set_id").alias("node"), F.col("n").alias("size"), F.size("sketch").alias("m"), F.explode("sketch").alias("key"))
+    values = sets.select(F.col("set_id").alias("node"), F.size("sketch").alias("m"), F.explode("sketch").alias("key"))
     frequency = values.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    shared = values.join(frequency, "key").groupBy("node", "size", "m").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("v"))
+    shared = values.join(frequency, "key").groupBy("node", "m").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("v"))
     need = F.ceil(F.col("m") / 2).cast("int")
     shared = shared.where(F.size("v") >= need)
-    return shared.select("node", "size", F.explode(F.slice("v", F.lit(1), F.size("v") - need + 1)).alias("v")).select(F.col("v.key").alias("key"), "node", "size")
+    return shared.select("node", F.explode(F.slice("v", F.lit(1), F.size("v") - need + 1)).alias("v")).select(F.col("v.key").alias("key"), "node")
 
 
-def _confirm(docs: DataFrame, sets: DataFrame, words: int, num: int, den: int):
+def _confirm(texts: DataFrame, sets: DataFrame, words: int, num: int, den: int):
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -109,16 +109,34 @@ def _confirm(docs: DataFrame, sets: DataFrame, words: int, num: int, den: int):
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
         estimate = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) / F.size(union)
         likely = c.saved(rows.where(estimate >= num / den - SLACK).select("a", "b"), "likely")
-        ids = likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        where = ids.join(sets.select("set_id", F.col("least_doc").alias("doc_id")), "set_id")
-        texts = docs.select("doc_id", "text").join(where, "doc_id").select("set_id", "text")
-        texts = c.saved(texts.mapInArrow(_own_text(words), "set_id long, text string"), "texts").dropDuplicates(["set_id"])
         ta, tb = (texts.select(F.col("set_id").alias(s), F.col("text").alias(f"t{s}")) for s in "ab")
         return likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long")
 
     return verify
 
 
+def _listed_texts(docs: DataFrame, sets: DataFrame, lists: DataFrame, words: int) -> DataFrame:
+    """(set_id, text): one text of every set that stands in a list."""
+    where = lists.select(F.col("node").alias("set_id")).distinct().join(sets.select("set_id", F.col("least_doc").alias("doc_id")), "set_id")
+    texts = docs.select("doc_id", "text").join(where, "doc_id").select("set_id", "text")
+    return c.saved(texts.mapInArrow(_own_text(words), "set_id long, text string"), "texts").dropDuplicates(["set_id"])
+
+
+def _samples(texts: DataFrame, words: int):
+    """nodes -> (node, n, bound, held): a sample of each node's full set, see linking.sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0)
+            for b in c.blocks(batch.column(1)):
+                h, first, which = _block_sets(b, words)
+                sets = np.split(h, first[1:]) if len(first) else []
+                bound, held = zip(*map(sample, sets), strict=True) if sets else ((), ())
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(b.rows.start + which)), pa.array([len(x) for x in sets], pa.int64()), pa.array(bound, pa.int64()), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))], ["node", "n", "bound", "held"])
+
+    return lambda nodes: texts.withColumnRenamed("set_id", "node").join(nodes, "node").select("node", "text").mapInArrow(run, "node long, n long, bound long, held array<long>")
+
+
 def _own_text(words: int):
     """Keep the rows whose text has the wanted set: a doc_id may stand on several rows."""
 
@@ -140,7 +158,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     rows = c.saved(sketches(docs, words), "sketches")
     sets = rows.where("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least_doc"))
     sets = c.saved(sets, "sets")
-    label = components(_inverted_lists(sets), _confirm(docs, sets, words, num, den), lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num)
+    lists = c.saved(_inverted_lists(sets), "inverted")
+    texts = _listed_texts(docs, sets, lists, words)
+    label = components(lists, _confirm(texts, sets, words, num, den), _samples(texts, words), num, den)
     owner = sets.select("set_id", "least_doc").join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     least = owner.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
     of_set = c.saved(owner.join(least, "comp").select("set_id", "component_id"), "components")

@@ -47,12 +47,32 @@ def test_components(spark):
 
 
 def test_lists_lose_no_link_between_components(spark):
-    # in one list, 1..4 link with the hubs' neighbours only in the second round
-    lists = spark.createDataFrame([(1, n, 1) for n in range(6)], "key long, node long, size long")
-    true = {(0, 5), (1, 2), (2, 3)}
-    verify = lambda pairs: pairs.where(F.concat_ws("-", "a", "b").isin([f"{a}-{b}" for a, b in true]))
-    got = {r["node"]: r["comp"] for r in linking.components(lists, verify).collect()}
+    # one list of six nodes: the hubs are 0 and 5, the other links show in the second round only
+    sets = {0: range(0, 100), 5: range(2, 102), 1: range(200, 300), 2: range(205, 305), 3: range(210, 310), 4: [*range(200, 270), *range(900, 930)]}
+    lists = spark.createDataFrame([(1, n) for n in sets], "key long, node long")
+    true = {f"{a}-{b}" for a in sets for b in sets if a < b and 100 * len({*sets[a]} & {*sets[b]}) >= 85 * len({*sets[a]} | {*sets[b]})}
+    asked = []
+
+    def verify(pairs):
+        asked.extend((r["a"], r["b"]) for r in pairs.collect())
+        return pairs.where(F.concat_ws("-", "a", "b").isin(sorted(true)))
+
+    values = lambda nodes: spark.createDataFrame([(n, len(v), 2**63 - 1, list(v)) for n, v in sets.items()], "node long, n long, bound long, held array<long>").join(nodes, "node")
+    got = {r["node"]: r["comp"] for r in linking.components(lists, verify, values, 85, 100).collect()}
     assert got == {0: 0, 5: 0, 1: 1, 2: 1, 3: 1}
+    assert not {(1, 4), (2, 4), (3, 4)} & set(asked)
+
+
+def test_samples_of_likely_sizes_hold_what_others_are_judged_by():
+    rng = np.random.default_rng(4)
+    every = np.sort(rng.integers(0, 2**63, 3000, dtype=np.uint64))
+    for n in (1, 200, 256, 257, 500, 513, 1000, 2000):
+        own = np.sort(every[rng.permutation(3000)[:n]])
+        b, h = linking.sample(own)
+        assert (h <= b).sum() == (own <= b).sum() and (n > linking.SAMPLE or len(h) == n)
+        big = np.sort(rng.choice(every, int(n * 1.25), replace=False))
+        _, bh = linking.sample(big)
+        assert (bh <= b).sum() == (big <= b).sum()
 
 
 def test_language_id(spark, small, edge):
