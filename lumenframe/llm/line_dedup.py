@@ -5,9 +5,10 @@ after outer white space is trimmed and A-Z lower-cased. Lines with fewer than
 ``MIN_CHARS`` characters are always kept. Equal contents are one node. Its
 set is the distinct ``SHINGLE``-character strings of the content; ``BANDS``
 bands of ``ROWS`` MinHash values make the inverted lists (at a similarity of
-0.8 a pair meets in one with probability 0.999), candidates are confirmed on
-the exact Jaccard similarity of both lines, and components come from a
-distributed union-find. The line with the smallest (doc_id, line number) of a
+0.8 a pair meets in one with probability 0.999). Candidates whose signatures
+agree in ``AGREE`` of their bytes or more (a similar pair misses that once in
+a few hundred thousand times) are confirmed on the exact Jaccard similarity
+of both lines, and components come from a distributed union-find. The line with the smallest (doc_id, line number) of a
 component stays.
 
 Defined results: null text has no lines and stays null, empty text stays
@@ -33,6 +34,7 @@ MIN_CHARS = 16
 SHINGLE = 8
 BANDS = 10
 ROWS = 3
+AGREE = 13
 NUM, DEN = 80, 100
 _U = np.uint64
 _SEEDS = c._stream(2 * BANDS * ROWS, 61)
@@ -83,23 +85,26 @@ def shingles(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
     return h[np.cumsum(inside[:-1], dtype=np.int8).view(bool)], np.r_[0, np.cumsum(z - a - SHINGLE + 1)]
 
 
-def band_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """BANDS 63-bit list keys of each line."""
+def band_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS 63-bit list keys of each line, and its signature with a byte for each MinHash."""
     h = (hashes >> _U(32)).astype(np.uint32)
     out = np.empty((len(bounds) - 1, BANDS), np.uint64)
+    signature = np.empty((len(bounds) - 1, BANDS * ROWS), np.uint8)
     work = np.empty_like(h)
     for band in range(BANDS):
         key = np.full(len(bounds) - 1, band + 1, np.uint64)
         for r in range(band * ROWS, band * ROWS + ROWS):
             np.multiply(h, _MUL[r], out=work)
             np.add(work, _ADD[r], out=work)
-            key = c.mix64(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(work, bounds[:-1]))
+            least = np.minimum.reduceat(work, bounds[:-1]).astype(np.uint64)
+            signature[:, r] = c.mix64(least.copy()) & _U(255)
+            key = c.mix64(key * _U(0x9E3779B97F4A7C15) + least)
         out[:, band] = key >> _U(1)
-    return out.view(np.int64)
+    return out.view(np.int64), signature
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line, node, keys) of each line to judge; keys only where its task first meets the content."""
+    """(doc_id, line, node, keys, signature) of each line to judge; keys only where its task first meets the content."""
     seen: set[int] = set()
     for batch in batches:
         ids = batch.column(0)
@@ -120,11 +125,13 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     new[i] = True
             if len(seen) > 1 << 21:
                 seen.clear()
-            keys = np.zeros((0, BANDS), np.int64)
+            keys, marks = np.zeros((0, BANDS), np.int64), []
             if new.any():
-                keys = band_keys(*shingles(low, s[new], e[new]))
+                keys, signature = band_keys(*shingles(low, s[new], e[new]))
+                marks = [x.tobytes() for x in signature]
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(new)].astype(np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(b.rows.start + doc)), pa.array(line), pa.array(node), lists], ["doc_id", "line", "node", "keys"])
+            marks = pa.array(marks, pa.binary()).take(pa.array(np.cumsum(new) - 1, mask=~new))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(b.rows.start + doc)), pa.array(line), pa.array(node), lists, marks], ["doc_id", "line", "node", "keys", "signature"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,6 +167,13 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (c.text_buffers(batch.column(i))[0].reshape(-1, BANDS * ROWS) for i in (2, 3))
+        mask = pa.array((x == y).sum(1) >= AGREE)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
@@ -172,7 +186,7 @@ def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, dropped): all judged lines, and (doc_id, line) of those that do not stay."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = c.saved(docs.where("text is not null").mapInArrow(_emit, f"doc_id {kind}, line long, node long, keys array<long>"), "lines")
+    lines = c.saved(docs.where("text is not null").mapInArrow(_emit, f"doc_id {kind}, line long, node long, keys array<long>, signature binary"), "lines")
     postings = lines.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
     # a list that several tasks met with one node only links nothing
     met = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
@@ -183,7 +197,11 @@ def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = docs.join(where, docs["doc_id"].eqNullSafe(where["doc_id"])).select("text", "line").mapInArrow(_texts, "node long, content binary")
     texts = c.saved(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
 
+    marks = c.saved(lines.where("signature is not null").select("node", "signature").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "signatures")
+
     def verify(pairs: DataFrame) -> DataFrame:
+        ma, mb = (marks.select(F.col("node").alias(s), F.col("signature").alias(f"m{s}")) for s in "ab")
+        pairs = c.saved(pairs.join(ma, "a").join(mb, "b").select("a", "b", "ma", "mb").mapInArrow(_likely, "a long, b long"), "likely")
         ta, tb = (texts.select(F.col("node").alias(s), F.col("content").alias(f"t{s}")) for s in "ab")
         return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
 
