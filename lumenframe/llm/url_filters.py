@@ -6,8 +6,11 @@ host, and the longest rule whose path is a prefix of the url's wins. Links
 between hosts are read from the pages' anchors and summed by host pair.
 Trust is personalised PageRank from hosts in proportion to their urls under
 allow rules; distrust is the same over reversed links from hosts in
-proportion to their urls under block rules. A host whose distrust exceeds
-its trust by more than the threshold is blocked, any other host allowed.
+proportion to their urls under block rules. Both follow links until less than
+``TOLERANCE`` of the seeds' mass is still on its way. A host whose distrust
+less its trust is more than the threshold's part of their sum is blocked, any
+other host allowed: a blocked host's distrust is split over all that link to
+it, so only the balance of both ranks, not their size, says anything.
 
 Defined results: null url, or url without ``://``, has empty host and path
 and is judged as a host without links; of equally long rules the one later
@@ -27,6 +30,7 @@ from . import common as c
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING = 0.85
 ROUNDS = 12
+TOLERANCE = 1e-12
 THRESHOLD = 0.1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ANCHOR = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
@@ -70,19 +74,29 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(kind, host, rank) after rounds of personalised PageRank over links(kind, src, dst, n) from seeds(kind, host, seed)."""
+    """(kind, host, rank): personalised PageRank over links(kind, src, dst, n) from seeds(kind, host, seed).
+
+    Each round sends on what the last one brought (new); its sum falls by the
+    damping at least, so the loop ends. It is tested after every rounds rounds.
+    """
     out = links.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     share = c.saved(links.join(out, ["kind", "src"]).select("kind", "src", "dst", (damping * F.col("n") / F.col("all")).alias("w")), "shares")
     base = c.saved(seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank")), "seeds")
-    rank = base
     if share.limit(1).count() == 0:
-        return rank
-    for i in range(rounds):
-        sent = rank.withColumnRenamed("host", "src").join(share, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("w")).alias("rank"))
-        rank = base.unionByName(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if i % 4 == 3 or i == rounds - 1:
+        return base
+    rank = base.withColumn("new", F.col("rank"))
+    mass = total = base.agg(F.sum("rank")).first()[0] or 0.0
+    i = 0
+    while mass > TOLERANCE * total:
+        sent = rank.where("new > 0").withColumnRenamed("host", "src").join(share, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("new") * F.col("w")).alias("new"))
+        both = rank.select("kind", "host", "rank", F.lit(0.0).alias("new")).unionByName(sent.select("kind", "host", F.col("new").alias("rank"), "new"))
+        rank = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("new").alias("new"))
+        i += 1
+        if i % 4 == 0 or i % rounds == 0:
             rank = c.saved(rank, f"rank{i}")
-    return rank
+        if i % rounds == 0:
+            mass = rank.agg(F.sum("new")).first()[0]
+    return rank.select("kind", "host", "rank")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
@@ -99,8 +113,10 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, rou
     forward = links.select(F.lit("allow").alias("kind"), "src", "dst", "n")
     backward = links.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     rank = propagate(forward.unionByName(backward), seeds, rounds)
-    pick = lambda kind: F.round(F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)), 9)
+    pick = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
     judged = c.saved(rank.groupBy("host").agg(pick("allow").alias("trust"), pick("block").alias("distrust")), "judged")
     rows = ruled.join(judged, "host", "left").fillna(0.0, ["trust", "distrust"])
-    verdict = F.coalesce("action", F.when(F.col("distrust") > F.col("trust") + threshold, "block").otherwise("allow"))
-    return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
+    more, both = F.col("distrust") - F.col("trust"), F.col("distrust") + F.col("trust")
+    balance = F.when(both > 0, F.round(more / both, 9)).otherwise(0.0)
+    verdict = F.coalesce("action", F.when(balance > threshold, "block").otherwise("allow"))
+    return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))

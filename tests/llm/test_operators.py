@@ -342,6 +342,19 @@ def test_link_graph(spark, tmp_path):
     assert got[2]["verdict"] == "block" and got[5]["verdict"] == "allow" and got[1]["verdict"] == "block" and got[4]["verdict"] == "allow"
 
 
+def test_distrust_of_many_linkers(spark, tmp_path):
+    a = lambda *hosts: "".join(f'<a href="https://{h}/p">t</a>' for h in hosts)
+    pages = [(0, "http://bad.com/de/1", None), (1, "http://good.org/x", a("both.net"))]
+    pages += [(2, "http://both.net/", a("bad.com")), (3, "http://two.net/", a("l1.net", "both.net")), (4, "http://none.net/", None)]
+    pages += [(10 + i, f"http://l{i}.net/", a("bad.com")) for i in range(40)]
+    # a chain longer than ROUNDS
+    pages += [(100, "http://r0.net/", a("bad.com"))] + [(100 + i, f"http://r{i}.net/", a(f"r{i - 1}.net")) for i in range(1, 30)]
+    got = {r["page_id"]: r for r in url_filters.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[10 + i]["verdict"] == "block" and got[10 + i]["distrust"] < 0.01 for i in range(40))
+    assert got[2]["verdict"] == "allow" and got[4]["verdict"] == "allow" and got[3]["verdict"] == "block"
+    assert all(got[100 + i]["verdict"] == "block" for i in range(30))
+
+
 def test_url_query_is_native(spark, tmp_path):
     df = QUERIES["op10_url_filters"](spark, write_pages(tmp_path, [(1, "http://a.org/x", "<a href='http://b.org'>")]))
     assert not any(x in df._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow"))
