@@ -148,6 +148,25 @@ def test_piece_codec(spark, request, which):
     assert all(r["round_trip"] for r in QUERIES["op3_piece_codec"](spark, folder).collect())
 
 
+@pytest.mark.parametrize("merges", [False, True])
+def test_long_words_are_not_cut(spark, merges):
+    import random
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path(pieces.MODEL))
+    rng = random.Random(3)
+    # runs of letters and of Chinese without a blank, and words apart by line feeds
+    texts = ["".join(rng.choice(s) for _ in range(n)) for s, n in (("etaoinshrdlu", 700), ("ABCabc019+/", 600), ("的一是不了人我在有中", 600), ("theiratonder\n", 900), (" ", 300))]
+    texts.append("x" * 250 + "".join(["international", "administration"] * 30))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table, byte_ids, _ = pieces.piece_table(pieces.MODEL)
+    known = {p: (i, w) for p, i, w in table}
+    for r in pieces.encode(docs, merges=merges).collect():
+        whole = pieces.MARK + r["text"].replace(" ", pieces.MARK)
+        assert r["ids"] == (sp.encode(r["text"]) if merges else brute.best_path(whole, known, byte_ids, pieces.UNKNOWN)), r["doc_id"]
+
+
 @pytest.mark.parametrize("which", ["small", "edge"])
 @pytest.mark.parametrize(("k", "num"), [(3, 85), (5, 80)])
 def test_near_dedup(spark, request, which, k, num):
