@@ -148,6 +148,16 @@ def test_piece_codec(spark, request, which):
     assert all(r["round_trip"] for r in QUERIES["op3_piece_codec"](spark, folder).collect())
 
 
+@pytest.mark.parametrize("which", ["small", "edge"])
+def test_piece_codec_follows_the_library(spark, request, which):
+    import sentencepiece
+
+    folder, rows = request.getfixturevalue(which)
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path(pieces.MODEL))
+    got = by_doc(QUERIES["op3_piece_codec"](spark, folder), "n_tokens", "ids_crc32")
+    assert got == ordered((d, len(ids := sp.encode(t or "")), zlib.crc32(" ".join(map(str, ids)).encode())) for d, t, _ in rows)
+
+
 @pytest.mark.parametrize("merges", [False, True])
 def test_long_words_are_not_cut(spark, merges):
     import random
