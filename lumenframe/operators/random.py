@@ -132,13 +132,36 @@ def uniform_frame(spark: SparkSession, seed: int, stream: int, n: int, chunk: in
     return spark.range(0, n, chunk).mapInArrow(run, "i long, u double")
 
 
+def index_frame(spark: SparkSession, seed: int, stream: int, n: int, size: int, chunk: int = 1 << 16) -> DataFrame:
+    """(i, idx): n draws below size, each chunk drawn by the task that holds it.
+
+    A rejected word would move all later draws. That has a chance of size in
+    2**64 a draw; then the draws are those of one serial run.
+    """
+    start, reject = Stream(seed, stream), (1 << 64) % size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in batch.column(0).to_pylist():
+                own = Stream(seed, stream)
+                own.state = jump(start.state, start.increment, 2 * lo)
+                k = min(chunk, n - lo)
+                w = own.words(2 * k).astype(np.uint64)
+                wide = (w[::2] << np.uint64(32)) | w[1::2]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + k)), pa.array((wide % np.uint64(size)).astype(np.int64)), pa.array(wide < np.uint64(reject))], ["i", "idx", "rejected"])
+
+    drawn = spark.range(0, n, chunk).mapInArrow(run, "i long, idx long, rejected boolean")
+    if drawn.where("rejected").limit(1).count():
+        return spark.createDataFrame(pa.table({"i": np.arange(n), "idx": Stream(seed, stream).indices(n, size)}))
+    return drawn.select("i", "idx")
+
+
 def selections(spark: SparkSession, seed: int, stream: int, reps: int, size: int) -> DataFrame:
     """(rep, pos, idx): reps samples of size draws with replacement."""
     if reps * size > MAX_SELECTIONS:
         raise RandomRefusal(f"more than {MAX_SELECTIONS} selections")
-    idx = Stream(seed, stream).indices(reps * size, size)
-    table = pa.table({"rep": np.repeat(np.arange(reps), size), "pos": np.tile(np.arange(size), reps), "idx": idx})
-    return spark.createDataFrame(table)
+    drawn = index_frame(spark, seed, stream, reps * size, size)
+    return drawn.select(F.expr(f"i div {size}").alias("rep"), (F.col("i") % size).alias("pos"), "idx")
 
 
 def resample(df: DataFrame, column: str, order: str, n: int, seed: int, stream: int = 0) -> DataFrame:
@@ -149,8 +172,7 @@ def resample(df: DataFrame, column: str, order: str, n: int, seed: int, stream:
         raise RandomRefusal("nothing to draw from")
     if n > MAX_SELECTIONS:
         raise RandomRefusal(f"more than {MAX_SELECTIONS} selections")
-    idx = Stream(seed, stream).indices(n, size)
-    picks = df.sparkSession.createDataFrame(pa.table({"pos": np.arange(n), "_ord": idx}))
+    picks = index_frame(df.sparkSession, seed, stream, n, size).select(F.col("i").alias("pos"), F.col("idx").alias("_ord"))
     return picks.join(rows, "_ord").select("pos", F.col(column).alias("value"))
 
 

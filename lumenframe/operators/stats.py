@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import DataRefusal, NumericRefusal
 from ..functions.arrays import total
 from ..functions.guards import guard
+from ..session import saved
 
 
 def neumaier(values: np.ndarray, s: float = 0.0, c: float = 0.0) -> tuple[float, float]:
@@ -165,15 +166,18 @@ def histogram(df: DataFrame, column: str, bins: int, constant_middle: bool = Fal
 def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
     """df with _ord, the 0-based place of each row in this order.
 
-    Places are counted by range partition and then within each, so no task
-    sorts more than its range.
+    Rows are dealt by range once and written with their place in their range;
+    sizes and rows are both read from there. A second evaluation would sample
+    other bounds. No task sorts more than its range.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    inside = (1 << 33) - 1
+    ranged = saved(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "ranges")
+    part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND(inside)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a partition
     starts = sizes.select("_part", before.alias("_before"))
-    return ranged.join(F.broadcast(starts), "_part").withColumn("_ord", F.col("_before") + F.col("_in") - 1).drop("_part", "_in", "_n", "_before")
+    return ranged.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_ord", F.col("_before") + place).drop("_part", "_place", "_before")
 
 
 def even_rows(df: DataFrame, count: int) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "lumenframe", **conf) -> SparkSession:
@@ -19,3 +22,24 @@ def session(name: str = "lumenframe", **conf) -> SparkSession:
     for k, v in {**fixed, **{k.replace("_", "."): str(v) for k, v in conf.items()}}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share, from spark.checkpoint.dir; only a local session may do without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("G101: set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lumen-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lumen-{uuid.uuid4().hex}/{name}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

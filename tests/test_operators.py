@@ -82,6 +82,18 @@ def test_rows(spark):
     assert stats.row_slice(df, 5, 8).count() == 3
 
 
+def test_ordinals_of_many_wide_rows(spark):
+    # more rows than the range exchange samples, with a payload that the result uses
+    n = 2_000_000
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 2).alias("payload"), "id").repartition(16)
+    got = stats.with_ordinal(rows, "k")
+    good = (F.col("_ord") == F.col("k")) & (F.col("payload") == F.repeat(F.sha2(F.col("id").cast("string"), 256), 2))
+    out = got.agg(F.count("*").alias("n"), F.count_distinct("_ord").alias("places"), F.min("_ord").alias("lo"), F.max("_ord").alias("hi"), F.count_if(good).alias("good"), F.sum(F.length("payload")).alias("chars")).first()
+    assert tuple(out) == (n, n, 0, n - 1, n, 128 * n)
+    tied = stats.with_ordinal(rows.select((F.col("k") % 3).alias("k"), "payload"), "k").agg(F.count("*").alias("n"), F.count_distinct("_ord").alias("places"), F.max("_ord").alias("hi")).first()
+    assert tuple(tied) == (n, n, n - 1)
+
+
 def test_join(spark):
     left = frame(spark, id=pa.array(["9007199254740993", "9007199254740992", "0007", "7"]), value=pa.array(["a", "b", "c", "d"]))
     right = frame(spark, id=pa.array(["7", "9007199254740992", "9007199254740993", "8"]), value=pa.array(["x", "y", "z", "w"]))
