@@ -6,6 +6,7 @@ since the order of addition differs between engines.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -363,13 +364,18 @@ def row_ordinals(spark, d):
     return rows.select(F.col("_ord").cast("long").alias("pos"), "c_custkey", "c_acctbal")
 
 
+_CUBE = "WITH w AS (SELECT ceil(sqrt(max(vec_id) + 1))::BIGINT AS w FROM embeddings), c AS (SELECT generate_subscripts(embedding, 1) - 1 AS channel, unnest(embedding)::DOUBLE AS v, w, sqrt(pow(vec_id % w - (w - 1) / 2.0, 2) + pow(vec_id // w - (w - 1) / 2.0, 2)) AS d FROM embeddings, w), "
+
+
 @query(
-    "WITH c AS (SELECT generate_subscripts(embedding, 1) - 1 AS channel, unnest(embedding)::DOUBLE AS v, sqrt(pow(vec_id % 24 - 11.5, 2) + pow(vec_id // 24 - 11.5, 2)) AS d FROM embeddings WHERE vec_id < 576) SELECT channel::INT AS channel, count(*) FILTER (d < 6) AS pixels, round(median(v) FILTER (d >= 9 AND d < 14), 9) AS background, round(sum(v) FILTER (d < 6) - count(*) FILTER (d < 6) * median(v) FILTER (d >= 9 AND d < 14), 6) AS flux FROM c GROUP BY 1"
+    _CUBE + "f AS (SELECT channel, count(*) FILTER (d < w / 4.0) AS pixels, median(v) FILTER (d >= 3 * w / 8.0 AND d < 7 * w / 12.0) AS b, sum(v) FILTER (d < w / 4.0) AS s FROM c GROUP BY 1) SELECT channel::INT AS channel, pixels, round(b, 9) AS background, round(s - pixels * b, 6) AS flux FROM f"
 )
 def cube_aperture(spark, d):
-    t = table(spark, d, "embeddings").where("vec_id < 576")  # the cube's own field of 24 x 24 pixels
-    rows = t.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("channel", "value"), (F.col("vec_id") % 24).alias("x"), F.expr("vec_id div 24").alias("y"))
-    return cube.aperture_flux(rows, 11.5, 11.5, 6.0).withColumns({"background": r("background", 9), "flux": r("flux")})
+    """All vectors as a square field of spectra, its aperture and ring in the proportions of its width."""
+    t = table(spark, d, "embeddings")
+    w = math.ceil(math.sqrt(t.agg(F.max("vec_id")).first()[0] + 1))
+    rows = t.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("channel", "value"), (F.col("vec_id") % w).alias("x"), F.expr(f"vec_id div {w}").alias("y"))
+    return cube.aperture_flux(rows, (w - 1) / 2, (w - 1) / 2, w / 4, 3 * w / 8, 7 * w / 12).withColumns({"background": r("background", 9), "flux": r("flux")})
 
 
 @query()
