@@ -175,7 +175,8 @@ def repeated_windows(text: np.ndarray, a: np.ndarray, g: np.ndarray, shards: int
     at = differ[1:, None] * SYMBOL + np.arange(SYMBOL)
     unlike = np.take_along_axis(x, at, 1) != np.take_along_axis(y, at, 1)
     shared = np.where(unlike.any(1), differ[1:] * SYMBOL + unlike.argmax(1), LENGTH)
-    shared = np.minimum(shared, np.minimum(need[order[:-1]], need[order[1:]]))
+    # A shorter right context is filled up and may stand between two equal longer ones; what lies between rows
+    # that agree in their first bytes agrees in them too, so the filled-up rows' common bytes part no interval wrongly.
     place = np.empty(count, np.int64)
     place[order] = np.arange(count)
     left = np.full(count, 1, np.uint64)
