@@ -91,17 +91,18 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, cache_path: str |
     """(doc_id, digest, n_bytes, n_tokens) of docs(doc_id, text); cache_path None starts an empty cache."""
     spark = docs.sparkSession
     version = version_digest(tokenizer)
-    fresh = cache_path is None
-    if fresh:
+    if cache_path is None:
         cache_path = f"{c.shared_dir(spark)}/lumen-token-cache-{uuid.uuid4().hex}"
         spark.createDataFrame([], CACHE_SCHEMA).write.parquet(cache_path)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version)
+    def stored() -> DataFrame:
+        # two runs may have appended the same content
+        return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
+
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.unhex(F.sha2(text, 256))
     rows = docs.select(digest.alias("digest"), text.alias("text")).mapInArrow(_first_in_task, "digest binary, text string")
-    misses = rows if fresh else rows.join(stored.select("digest"), "digest", "left_anti")
+    misses = rows.join(stored().select("digest"), "digest", "left_anti")
     counted = misses.repartition(c.shuffle_width(spark), "digest").mapInArrow(_encode(tokenizer, version), CACHE_SCHEMA)
     counted.write.mode("append").option("compression", "zstd").parquet(cache_path)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version).select("digest", "n_tokens")
     mine = docs.select("doc_id", digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return mine.join(stored, "digest").select("doc_id", "digest", "n_bytes", "n_tokens")
+    return mine.join(stored(), "digest").select("doc_id", "digest", "n_bytes", "n_tokens")
