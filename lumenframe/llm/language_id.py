@@ -32,10 +32,10 @@ _FOLD: list[np.ndarray] = []
 
 
 def _fold_table() -> np.ndarray:
-    """Code point to its lower-case letter, or to a blank; planes above 3 hold no letters that matter here."""
+    """Code point to its lower-case letter, or to a blank."""
     if not _FOLD:
         t = np.full(0x110000, 32, np.uint32)
-        for i in range(0x32000):
+        for i in range(0x110000):
             ch = chr(i)
             if ch.isalpha():
                 t[i] = ord(ch.lower()[0])
