@@ -5,8 +5,10 @@ on). Each frame has zeroed side information, so it decodes to silence, and
 the payload stands in the part of the frame that follows. A tag with the
 payload length and a table frame for variable bitrate (frame count, byte
 count, seek points) come first. ``read`` resynchronises on frame headers,
-skips or parses tags, checks checksums, reads the table, and returns exact
-sample counts and the offset of every frame.
+parses tags (versions 2.2 to 2.4, and the 128 bytes at the end), verifies the
+checksums of all three layers, reads the table (frames, bytes, quality, seek
+points, of either kind), and returns exact sample counts and the offset of
+every frame.
 
 Defined results: null text is an empty payload; every payload is padded with
 zero bytes to a positive multiple of 64; equal texts give equal streams;
@@ -44,6 +46,8 @@ class Header:
     mono: bool
     size: int
     samples: int
+    #: Sub-bands from this one on share their bit allocation (joint stereo).
+    bound: int
 
     @property
     def side(self) -> int:
@@ -63,19 +67,57 @@ def header(four: bytes) -> Header | None:
     kbps, hertz, pad = BITRATES[version == 3, layer][kbit], RATES[version][rate], four[2] >> 1 & 1
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
     size = (12000 * kbps // hertz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hertz + pad
-    return Header(version, layer, not four[1] & 1, kbps, hertz, four[3] >> 6 == 3, size, samples)
+    bound = 4 * ((four[3] >> 4 & 3) + 1) if four[3] >> 6 == 1 else 32
+    return Header(version, layer, not four[1] & 1, kbps, hertz, four[3] >> 6 == 3, size, samples, bound)
 
 
 @lru_cache(65536)
-def checksum(covered: bytes) -> int:
+def checksum(covered: bytes, bits: int | None = None) -> int:
+    """Checksum of these bytes, or of that many leading bits."""
     crc = 0xFFFF
-    for byte in covered:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1 & 0xFFFF
+    for at in range(8 * len(covered) if bits is None else bits):
+        top = crc >> 15 ^ covered[at >> 3] >> (7 - (at & 7)) & 1
+        crc = (crc << 1 ^ (0x8005 if top else 0)) & 0xFFFF
     return crc
 
 
+def _allocation(h: Header) -> list[int]:
+    """Layer II: bits of the allocation of each sub-band."""
+    if h.version != 3:
+        runs = ((4, 4), (7, 3), (19, 2))
+    else:
+        kbps = h.kbps if h.mono else h.kbps // 2
+        if kbps <= 48:
+            runs = ((2, 4), (10 if h.rate == 32000 else 6, 3))
+        else:
+            runs = ((11, 4), (12, 3), (4 if kbps <= 80 or h.rate == 48000 else 7, 2))
+    return [bits for count, bits in runs for _ in range(count)]
+
+
+def covered_bits(h: Header, body: bytes) -> int:
+    """How many bits after the checksum it covers: side information, or allocations (and scale factor selectors, Layer II)."""
+    channels = 1 if h.mono else 2
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (32 if h.mono else 32 + min(h.bound, 32))
+    value, size, at, selectors = int.from_bytes(body[:64], "big"), 8 * len(body[:64]), 0, 0
+    for band, bits in enumerate(_allocation(h)):
+        for _ in range(channels if band < h.bound else 1):
+            used = at + bits <= size and value >> (size - at - bits) & ((1 << bits) - 1)
+            selectors += 2 * bool(used) * (1 if band < h.bound else channels)
+            at += bits
+    return at + selectors
+
+
+def sound_checksum(h: Header, frame: bytes) -> bool:
+    """Whether a protected frame's checksum holds."""
+    bits = covered_bits(h, frame[6:])
+    if 48 + bits > 8 * len(frame):
+        return False
+    return checksum(frame[2:4] + frame[6 : 6 + -(-bits // 8)], 16 + bits) == int.from_bytes(frame[4:6], "big")
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
 
@@ -119,6 +161,8 @@ def wrap(payload: bytes) -> bytes:
 class Track:
     tags: dict[str, bytes] = field(default_factory=dict)
     table: dict[str, int] = field(default_factory=dict)
+    #: Byte position, as the table states it, where each part of equal duration begins.
+    seek: list[int] = field(default_factory=list)
     offsets: list[int] = field(default_factory=list)
     kbps: list[int] = field(default_factory=list)
     samples: int = 0
@@ -134,19 +178,39 @@ class Track:
         return body[: struct.unpack(">Q", length[-8:])[0]] if length.startswith(OWNER) else body
 
 
+def _number(raw: bytes, bits: int = 8) -> int:
+    """Big-endian number, of 7 bits a byte where it is free of sync bits."""
+    n = 0
+    for x in raw:
+        n = n << bits | x & (1 << bits) - 1
+    return n
+
+
+def _tag_frames(version: int, flags: int, body: bytes, track: Track) -> None:
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    p = 0
+    if flags & 0x40 and version == 3:
+        p = 4 + _number(body[:4])
+    elif flags & 0x40 and version == 4:
+        p = _number(body[:4], 7)
+    name, head = (3, 6) if version == 2 else (4, 10)
+    while p + head <= len(body) and body[p]:
+        n = _number(body[p + name : p + 2 * name], 7 if version == 4 else 8)
+        track.tags[body[p : p + name].decode("latin-1")] = body[p + head : p + head + n]
+        p += head + n
+
+
 def _tags(data: bytes, track: Track) -> tuple[int, int]:
     """Where the frames begin and end, after the tags at either end are read."""
     at, end = 0, len(data)
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
-        size = 0
-        for x in data[at + 6 : at + 10]:
-            size = size << 7 | x & 0x7F
-        stop, p = min(end, at + 10 + size), at + 10
-        while p + 10 <= stop and data[p] and data[at + 3] >= 3:
-            n = int.from_bytes(data[p + 4 : p + 8], "big")
-            track.tags[data[p : p + 4].decode("latin-1")] = data[p + 10 : min(stop, p + 10 + n)]
-            p += 10 + n
-        at = stop
+        version, flags = data[at + 3], data[at + 5]
+        stop = min(end, at + 10 + _number(data[at + 6 : at + 10], 7))
+        if version in (2, 3, 4):
+            _tag_frames(version, flags, data[at + 10 : stop], track)
+        # a footer repeats the head
+        at = min(end, stop + 10) if version == 4 and flags & 0x10 else stop
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         for name, lo, hi in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93), ("TYER", 93, 97)):
             track.tags.setdefault(name, data[end - 128 + lo : end - 128 + hi].rstrip(b"\0 "))
@@ -154,6 +218,34 @@ def _tags(data: bytes, track: Track) -> tuple[int, int]:
     return at, end
 
 
+def _table(body: bytes, frame: bytes, track: Track) -> bool:
+    """Read the variable-bitrate table that a first frame may hold in place of sound."""
+    if body[:4] in (b"Xing", b"Info"):
+        flags, p = int.from_bytes(body[4:8], "big"), 8
+        for bit, name, size in ((1, "frames", 4), (2, "bytes", 4), (4, "seek_points", 100), (8, "quality", 4)):
+            if flags & bit:
+                raw = body[p : p + size]
+                if name == "seek_points":
+                    total = track.table.get("bytes", 0)
+                    track.seek = [x * total // 256 for x in raw]
+                    track.table[name] = len(raw)
+                else:
+                    track.table[name] = int.from_bytes(raw, "big")
+                p += size
+        track.table.setdefault("seek_points", 0)
+        return True
+    v = frame[36:]
+    if v[:4] == b"VBRI" and len(v) >= 26:
+        quality, size, frames = struct.unpack(">HII", v[8:18])
+        entries, scale, width, _ = struct.unpack(">HHHH", v[18:26])
+        track.table |= {"frames": frames, "bytes": size, "quality": quality, "seek_points": entries}
+        for k in range(entries):
+            part = int.from_bytes(v[26 + k * width : 26 + (k + 1) * width], "big") * scale
+            track.seek.append((track.seek[-1] if track.seek else 0) + part)
+        return True
+    return False
+
+
 def read(data: bytes) -> Track:
     """Parse a stream; a header counts if its frame ends at another header or at the end of the data."""
     track = Track()
@@ -168,18 +260,9 @@ def read(data: bytes) -> Track:
             at = nxt
             continue
         head = 4 + 2 * h.checked + (h.side if h.layer == 3 else 0)
-        if h.checked and h.layer == 3:
-            side = data[at + 6 : at + 6 + h.side]
-            track.bad_checksums += checksum(data[at + 2 : at + 4] + side) != int.from_bytes(data[at + 4 : at + 6], "big")
+        track.bad_checksums += h.checked and not sound_checksum(h, data[at : at + h.size])
         body = data[at + head : at + h.size]
-        if not track.offsets and not track.table and body[:4] in (b"Xing", b"Info"):
-            flags, p = int.from_bytes(body[4:8], "big"), 8
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    track.table[name] = int.from_bytes(body[p : p + 4], "big")
-                    p += 4
-            track.table["seek_points"] = 100 if flags & 4 else 0
-        else:
+        if track.offsets or track.table or h.layer != 3 or not _table(body, data[at : at + h.size], track):
             track.offsets.append(at)
             track.kbps.append(h.kbps)
             track.bodies.append(body)
