@@ -7,7 +7,11 @@ and derives lower orders, discounts and backoff weights with aggregations and
 joins; the result is one log probability per seen 4-gram, held as arrays
 sorted by hash with an index on the leading bits. The arrays are broadcast
 while they have at most ``MAX_BROADCAST_GRAMS`` entries; a larger model stays
-a table and is joined to the documents' 4-gram counts.
+a table and is joined to the documents' 4-gram counts. A judged text's own
+counts are held out: a 4-gram that only it holds gets the probability of an
+unseen one. Characters are the unit, not words, as counts of word n-grams
+outgrow the disk (figures in the README): the band rejects wrong letters, a
+wrong language and bare repetition, but not shuffled words.
 
 Defined results: null or empty text has no words (all counts 0, base fails)
 and no perplexity; null lang forms a language of its own, ``und``; repeated
@@ -28,8 +32,11 @@ from pyspark.sql import types as T
 from . import common as c
 
 MAX_BROADCAST_GRAMS = 6_000_000
-FENCE = 6.0
+#: Quartile distances beyond the quartiles, as for far outliers: of a normal distribution it cuts off 2 in a million.
+FENCE = 3.0
 MIN_SPREAD = 0.05
+#: Counts are told apart up to this.
+MOST = (1 << 31) - 1
 FLUSH_UNITS = 1 << 22
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = np.zeros(256, bool)
@@ -148,11 +155,11 @@ def _with_kn(grams: DataFrame, order: int, lower: DataFrame | None) -> DataFrame
         rows = rows.withColumn("p_low", F.lit(1.0 / 65536))
     else:
         rows = rows.withColumn("low", F.col("g").bitwiseAND((1 << (16 * (order - 1))) - 1)).join(lower.select("lang", F.col("g").alias("low"), F.col("p").alias("p_low")), ["lang", "low"])
-    return rows.select("lang", "g", (own + back * F.col("p_low")).alias("p"))
+    return rows.select("lang", "g", (own + back * F.col("p_low")).alias("p"), "c", (back * F.col("p_low")).alias("b"))
 
 
 def train(docs: DataFrame) -> DataFrame:
-    """(lang, g, logp) for every character 4-gram of docs(_text, _lang)."""
+    """(lang, g, logp, c, logb) for every character 4-gram of docs(_text, _lang): log probability, count, and log probability if it were unseen."""
     raw = docs.select("_text", "_lang").mapInArrow(_counter, "lang string, g long, c long")
     four = c.saved(raw.groupBy("lang", "g").agg(F.sum("c").alias("c")), "grams4")
     counts = {4: four}
@@ -162,26 +169,26 @@ def train(docs: DataFrame) -> DataFrame:
     p = None
     for order in (1, 2, 3, 4):
         p = _with_kn(counts[order], order, p)
-    return c.saved(p.select("lang", "g", F.log("p").cast("float").alias("logp")), "model4")
+    return c.saved(p.select("lang", "g", F.log("p").cast("float").alias("logp"), F.least("c", F.lit(MOST)).cast("int").alias("c"), F.log("b").cast("float").alias("logb")), "model4")
 
 
 class HashArrays:
     """Log probabilities in arrays sorted by hash, with an index on the leading bits."""
 
-    def __init__(self, lang: list[str], code: np.ndarray, g: np.ndarray, logp: np.ndarray):
+    def __init__(self, lang: list[str], code: np.ndarray, g: np.ndarray, *values: np.ndarray):
         self.seed = {name: int(s) for name, s in zip(lang, c._stream(len(lang), 99), strict=True)}
         seeds = np.array([self.seed[x] for x in lang], np.uint64) if lang else np.zeros(0, np.uint64)
         h = c.mix64(g.view(np.uint64) ^ seeds[code])
         order = np.argsort(h, kind="stable")
-        self.h, self.logp = h[order], logp[order].astype(np.float32)
+        self.h, self.values = h[order], [v[order] for v in values]
         self.bits = max(1, int(len(h)).bit_length())
         self.index = np.searchsorted(self.h, np.arange(1 << self.bits, dtype=np.uint64) << _U(64 - self.bits)).astype(np.int64)
 
-    def __call__(self, lang: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log probability, found); unseen n-grams have 0 and False."""
-        out, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+    def find(self, lang: str, keys: np.ndarray) -> np.ndarray:
+        """Place of each n-gram in the arrays, or -1."""
+        out = np.full(len(keys), -1)
         if lang not in self.seed or not len(self.h):
-            return out, found
+            return out
         q = c.mix64(keys ^ _U(self.seed[lang]))
         at = self.index[(q >> _U(64 - self.bits)).astype(np.int64)]
         todo = np.arange(len(q))
@@ -189,21 +196,34 @@ class HashArrays:
         while len(todo):
             here = self.h[np.minimum(at, last)]
             hit = (here == q) & (at <= last)
-            out[todo[hit]], found[todo[hit]] = self.logp[at[hit]], True
+            out[todo[hit]] = at[hit]
             on = ~hit & (here < q) & (at < last)
             todo, at, q = todo[on], at[on] + 1, q[on]
-        return out, found
+        return out
 
 
 def _scores(b: c.Block, lang: np.ndarray, model: HashArrays) -> np.ndarray:
-    """Mean negative log probability of a unit, per text; NaN without one."""
+    """Mean negative log probability of a unit, per text; NaN without one.
+
+    A text's own counts are held out: a 4-gram that no other text of the
+    language holds is unseen.
+    """
     doc, key = _grams(b)
     total, n = np.zeros(len(b)), np.bincount(doc, minlength=len(b))
+    order = np.argsort(key, kind="stable")
+    order = order[np.argsort(doc[order], kind="stable")]
+    doc, key = doc[order], key[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])][: len(doc)])
+    own = np.diff(np.r_[first, len(doc)])
+    doc, key = doc[first], key[first]
     for name in set(lang):
         mine = (lang == name)[doc]
-        logp, found = model(name, key[mine])
-        logp[~found] = np.log(1 / 65536)
-        total += np.bincount(doc[mine], weights=logp, minlength=len(b))
+        at = model.find(name, key[mine])
+        logp = np.full(len(at), np.log(1 / 65536))
+        seen = at >= 0
+        held, count, low = (v[at[seen]] for v in model.values) if len(model.h) else (np.zeros(0),) * 3
+        logp[seen] = np.where(np.minimum(own[mine][seen], MOST) < count, held, low)
+        total += np.bincount(doc[mine], weights=logp * own[mine], minlength=len(b))
     with np.errstate(invalid="ignore", divide="ignore"):
         return np.round(np.where(n > 0, -total / n, np.nan), 6)
 
@@ -235,7 +255,7 @@ def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST_GRAMS) -> DataFram
         table = model.toArrow()
         code = table.column("lang").combine_chunks().dictionary_encode()
         names = code.dictionary.to_pylist() if len(table) else []
-        arrays = HashArrays(names, code.indices.to_numpy(), table.column("g").to_numpy(), table.column("logp").to_numpy())
+        arrays = HashArrays(names, code.indices.to_numpy(), *(table.column(x).to_numpy() for x in ("g", "logp", "c", "logb")))
         shared = spark.sparkContext.broadcast(arrays)
     keep = [f.name for f in src.schema]
 
@@ -255,7 +275,9 @@ def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST_GRAMS) -> DataFram
     if not small:
         keyed = src.select("_text", "_lang", F.sha2(F.coalesce("_text", F.lit("")), 256).alias("_digest"))
         parts = keyed.mapInArrow(_unit_counts, "lang string, _digest string, g long, c long").distinct()
-        ppl = parts.join(model, ["lang", "g"]).groupBy("lang", "_digest").agg(F.round(-F.sum(F.col("c") * F.col("logp")) / F.sum("c"), 6).alias("joined"))
+        held = model.withColumnRenamed("c", "all")
+        logp = F.when(F.least("c", F.lit(MOST)) < F.col("all"), F.col("logp")).otherwise(F.col("logb"))
+        ppl = parts.join(held, ["lang", "g"]).groupBy("lang", "_digest").agg(F.round(-F.sum(F.col("c") * logp) / F.sum("c"), 6).alias("joined"))
         ppl = ppl.withColumnRenamed("lang", "_key")
         out = out.withColumns({"_key": F.coalesce("_lang", F.lit("und")), "_digest": F.sha2(F.coalesce("_text", F.lit("")), 256)})
         out = out.join(ppl, ["_key", "_digest"], "left").withColumn("log_ppl", F.col("joined")).drop("_key", "_digest", "joined")
