@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import saved, shared_dir  # noqa: F401
+
 BLOCK_BYTES = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -20,24 +21,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a local one only if none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lumen-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumen-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -190,19 +173,21 @@ def sorted_sets(doc: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     return doc, values
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node for every node of an undirected edge table (a, b).
 
     Each round takes the least label among a node's neighbours and then jumps
     to that label's own label; labels are written to the shared folder, so
-    the loop has short lineage and needs nothing on the driver. Rows with a
-    null end or a = b add no link.
+    the loop has short lineage and needs nothing on the driver. Labels only
+    get smaller: it ends after at most as many rounds as the longest shortest
+    path has links, and far sooner where jumps help.
+    Rows with a null end or a = b add no link.
     """
     edges = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
     both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     first = both.groupBy("a").agg(F.min("b").alias("least"))
     labels = saved(first.select(F.col("a").alias("node"), F.least("a", "least").alias("comp")), "labels0")
-    for i in range(1, rounds):
+    for i in itertools.count(1):
         near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
         new = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("comp", "other").alias("comp"), F.col("comp").alias("was"))
         root = new.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
@@ -210,4 +195,3 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if step.where("comp <> was").limit(1).count() == 0:
             return step.select("node", "comp")
         labels = step.select("node", "comp")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
