@@ -38,6 +38,7 @@ class Ledger:
 
     def __init__(self, path: str):
         self.path = path
+        self._tail: tuple[int, int, str] | None = None
 
     def entries(self) -> list[dict]:
         if not os.path.exists(self.path):
@@ -46,13 +47,18 @@ class Ledger:
             return [json.loads(line) for line in f]
 
     def append(self, event: dict) -> dict:
-        past = self.audit()
-        body = {"index": len(past), "previous": past[-1]["hash"] if past else "0" * 64, "event": event}
+        """Audits what it has not seen: the whole file, unless its end is where this ledger's last append left it."""
+        size = os.path.getsize(self.path) if os.path.exists(self.path) else 0
+        if self._tail is None or self._tail[0] != size:
+            past = self.audit()
+            self._tail = (size, len(past), past[-1]["hash"] if past else "0" * 64)
+        body = {"index": self._tail[1], "previous": self._tail[2], "event": event}
         entry = body | {"hash": digest(body)}
         with open(self.path, "a", encoding="utf-8") as f:
             f.write(canonical(entry).decode() + "\n")
             f.flush()
             os.fsync(f.fileno())
+            self._tail = (f.tell(), body["index"] + 1, entry["hash"])
         return entry
 
     def audit(self) -> list[dict]:

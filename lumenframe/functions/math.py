@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .guards import col, finite, guard
 
@@ -128,13 +125,11 @@ def is_close(a, b, abs_tol: float, rel_tol: float) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(float(abs_tol)), F.lit(float(rel_tol)) * F.greatest(F.abs(a), F.abs(b)))
 
 
-def _equal_bits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(a.to_numpy(np.float64).view(np.uint64) == b.to_numpy(np.float64).view(np.uint64))
-
-
 def same_bits(a, b) -> Column:
-    """IEEE bit equality; 0 and -0 differ."""
-    return F.pandas_udf(_equal_bits, T.BooleanType())(num(a), num(b))
+    """IEEE bit equality; 0 and -0 differ, any two NaN are equal."""
+    a, b = num(a), num(b)
+    # a double's text tells every value from every other, and the two zeros
+    return a.cast("string") == b.cast("string")
 
 
 def minimum(*xs) -> Column:

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataRefusal, NumericRefusal
-from ..functions.arrays import total
 from ..functions.guards import guard
 from ..session import saved
 
@@ -48,9 +47,7 @@ def compensated_sum(df: DataFrame, column: str, order: str | None = None, exact:
     if exact:
         if order is None:
             raise DataRefusal("an exact sum needs an order column")
-        row = df.agg(F.count("*").alias("n"), F.count(x).alias("k"), F.sort_array(F.collect_list(F.struct(F.col(order), x.alias("x")))).alias("rows")).select("n", "k", F.when(F.size("rows") > 0, total(F.col("rows.x"))).alias("s")).first()
-        _counted(row["n"], row["k"])
-        return row["s"]
+        return _ordered_sum(df.select(F.col(order).alias("o"), x.alias("x")))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = k = 0
@@ -70,6 +67,24 @@ def compensated_sum(df: DataFrame, column: str, order: str | None = None, exact:
     return s + c
 
 
+def _ordered_sum(df: DataFrame) -> float:
+    """Compensated sum of x in the order of o: the fold goes on from one range of rows to the next, each in bounded memory."""
+    counts = df.agg(F.count("*").alias("n"), F.count("x").alias("k")).first()
+    _counted(counts["n"], counts["k"])
+    s = c = 0.0
+    chunk: list[float] = []
+    # one range at a time comes to the driver, which holds no more than that
+    for row in df.repartitionByRange("o").sortWithinPartitions("o").select("x").toLocalIterator(prefetchPartitions=True):
+        chunk.append(row["x"])
+        if len(chunk) == 1 << 16:
+            s, c = neumaier(np.array(chunk), s, c)
+            chunk.clear()
+    s, c = neumaier(np.array(chunk), s, c)
+    if not np.isfinite(s + c):
+        raise NumericRefusal("the sum overflows")
+    return s + c
+
+
 def _counted(n: int, k: int) -> None:
     if not n:
         raise DataRefusal("the input has no rows")
@@ -99,6 +114,11 @@ def _nonempty(value: Column, x: Column, least: int = 1) -> Column:
     return F.when(F.count(x) < least, F.raise_error(F.lit(f"G601: fewer than {least} values"))).otherwise(value)
 
 
+def _whole(value: Column, x: Column, least: int = 1) -> Column:
+    """As _nonempty, and a row without a value is refused."""
+    return F.when(F.count(x) < F.count(F.lit(1)), F.raise_error(F.lit("G601: rows without a value"))).otherwise(_nonempty(value, x, least))
+
+
 def scaled_mean(x) -> Column:
     """Mean scaled by the largest magnitude, so that it does not overflow where the values do not."""
     x = (F.col(x) if isinstance(x, str) else x).cast("double")
@@ -127,12 +147,12 @@ def ecdf(x, q: float) -> Column:
 
 def std_population(x) -> Column:
     x = F.col(x) if isinstance(x, str) else x
-    return _nonempty(F.stddev_pop(x), x)
+    return _whole(F.stddev_pop(x), x)
 
 
 def std_sample(x) -> Column:
     x = F.col(x) if isinstance(x, str) else x
-    return _nonempty(F.stddev_samp(x), x, 2)
+    return _whole(F.stddev_samp(x), x, 2)
 
 
 def covariance(df: DataFrame, columns: list[str], ddof: int) -> DataFrame:
@@ -141,7 +161,8 @@ def covariance(df: DataFrame, columns: list[str], ddof: int) -> DataFrame:
         raise NumericRefusal("ddof is 0 or 1")
     f = F.covar_pop if ddof == 0 else F.covar_samp
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = df.agg(*[_nonempty(f(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")), F.col(columns[i]), 1 + ddof).alias(f"c{i}_{j}") for i, j in pairs])
+    both = lambda i, j: F.when(F.col(columns[i]).isNotNull(), F.col(columns[j]))
+    row = df.agg(*[_whole(f(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")), both(i, j), 1 + ddof).alias(f"c{i}_{j}") for i, j in pairs])
     cells = [F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"c{i}_{j}").alias("covariance")) for i, j in pairs for a, b in {(i, j), (j, i)}]
     return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 

@@ -59,6 +59,19 @@ def test_reductions(spark):
     assert s[0] == 2.0 and s[1] == pytest.approx(math.sqrt(32 / 7))
 
 
+def test_ordered_sum_over_many_ranges(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal(200_000) * 10.0 ** rng.integers(-12, 12, 200_000)
+    df = spark.createDataFrame(pa.table({"i": np.arange(len(x)), "x": x})).repartition(9)
+    assert stats.compensated_sum(df, "x", "i", exact=True) == sum(stats.neumaier(x))
+    gap = frame(spark, x=pa.array([1.0, None, 3.0]), y=pa.array([1.0, 2.0, 4.0]))
+    for agg in (stats.std_population("x"), stats.std_sample("x")):
+        with pytest.raises(Exception, match="G601"):
+            gap.agg(agg).collect()
+    with pytest.raises(Exception, match="G601"):
+        stats.covariance(gap, ["x", "y"], 1).collect()
+
+
 def test_two_sum_matches_fsum():
     rng = np.random.default_rng(3)
     x = rng.standard_normal(10_001) * 10.0 ** rng.integers(-20, 20, 10_001)
