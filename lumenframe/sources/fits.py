@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..errors import DataRefusal
 from ..operators import select, stats
@@ -239,12 +239,35 @@ class _Range(InputPartition):
         self.first, self.count = first, count
 
 
-class _TableReader(DataSourceReader):
-    def __init__(self, path: str, h: Hdu, columns: list[Column], schema: T.StructType, per_part: int):
-        self.path, self.h, self.columns, self.names, self.per_part = path, h, columns, schema.names, per_part
+class _RangeReader(DataSourceReader):
+    """Rows or pixels by number; a condition on the number narrows the ranges that are read."""
+
+    place = "_ord"
+
+    def _span(self, size: int, per_part: int) -> None:
+        self.lo, self.hi, self.per_part = 0, size, per_part
+
+    def pushFilters(self, filters):
+        for f in filters:
+            value = getattr(f, "value", None)
+            whole = getattr(f, "attribute", None) == (self.place,) and isinstance(value, int) and not isinstance(value, bool)
+            if whole and isinstance(f, EqualTo):
+                self.lo, self.hi = max(self.lo, value), min(self.hi, value + 1)
+            elif whole and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.lo = max(self.lo, value + isinstance(f, GreaterThan))
+            elif whole and isinstance(f, (LessThan, LessThanOrEqual)):
+                self.hi = min(self.hi, value + isinstance(f, LessThanOrEqual))
+            else:
+                yield f
 
     def partitions(self):
-        return [_Range(lo, min(self.per_part, self.h.rows - lo)) for lo in range(0, self.h.rows, self.per_part)] or [_Range(0, 0)]
+        return [_Range(lo, min(self.per_part, self.hi - lo)) for lo in range(self.lo, self.hi, self.per_part)] or [_Range(0, 0)]
+
+
+class _TableReader(_RangeReader):
+    def __init__(self, path: str, h: Hdu, columns: list[Column], schema: T.StructType, per_part: int):
+        self.path, self.h, self.columns, self.names = path, h, columns, schema.names
+        self._span(h.rows, per_part)
 
     def read(self, part):
         step = max(1, CHUNK_BYTES // max(1, self.h.row_bytes))
@@ -256,12 +279,12 @@ class _TableReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + n)), *[_decode(c, raw) for c in self.columns]], self.names)
 
 
-class _ImageReader(DataSourceReader):
-    def __init__(self, path: str, h: Hdu, per_part: int):
-        self.path, self.h, self.per_part = path, h, per_part
+class _ImageReader(_RangeReader):
+    place = "pixel_index"
 
-    def partitions(self):
-        return [_Range(lo, min(self.per_part, self.h.pixels - lo)) for lo in range(0, self.h.pixels, self.per_part)] or [_Range(0, 0)]
+    def __init__(self, path: str, h: Hdu, per_part: int):
+        self.path, self.h = path, h
+        self._span(h.pixels, per_part)
 
     def read(self, part):
         width = abs(self.h.bitpix) // 8

@@ -104,6 +104,24 @@ def test_fits(spark, tmp_path):
     assert os.path.exists(plots.fits_scatter(spark, p, 1, "source_id", "Z", 3, str(tmp_path), "s.svg", "s"))
 
 
+def test_fits_reads_only_the_wanted_rows(spark, tmp_path):
+    data = rows_of([(i, float(i), i % 100, b"x", b"T", 1, i, i) for i in range(1000)])
+    p = table_file(tmp_path / "many.fits", COLUMNS, 1000, data)
+    table = lambda: fits._TableReader(p, fits.unit(p, 1), fits.unit(p, 1).columns, fits.T.StructType([]), 64)
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
+
+    r = table()
+    assert list(r.pushFilters([EqualTo(("_ord",), 700), EqualTo(("Z",), 1.0)])) == [EqualTo(("Z",), 1.0)] and [(x.first, x.count) for x in r.partitions()] == [(700, 1)]
+    r = table()
+    assert list(r.pushFilters([GreaterThan(("_ord",), 899), LessThanOrEqual(("_ord",), 989)])) == [] and [(x.first, x.count) for x in r.partitions()] == [(900, 64), (964, 26)]
+    r = table()
+    list(r.pushFilters([EqualTo(("_ord",), 5000)]))
+    assert [x.count for x in r.partitions()] == [0]
+    df = fits.read(spark, p, 1, bytes_per_partition=4000)
+    assert fits.cell(spark, p, 1, "SOURCE_ID", 637) == 637 and df.where("_ord >= 250 and _ord < 270 and QUALITY > 60").count() == 9
+    assert df.where("_ord = 1000").count() == 0 and df.where("_ord < 0").count() == 0 and fits.pixel(spark, p, 2) == 7.0
+
+
 def test_fits_refuses(tmp_path, spark):
     good = rows_of([(1, 1.0, 1, b"x", b"T", 1, 1, 1)])
     twice = [dict(COLUMNS[0]), dict(COLUMNS[1], TTYPE="source_id"), *COLUMNS[2:]]
