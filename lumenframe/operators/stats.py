@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataRefusal, NumericRefusal
-from ..functions.guards import guard
+from ..functions.arrays import total
 from ..session import saved
 
 
@@ -49,22 +49,39 @@ def compensated_sum(df: DataFrame, column: str, order: str | None = None, exact:
             raise DataRefusal("an exact sum needs an order column")
         return _ordered_sum(df.select(F.col(order).alias("o"), x.alias("x")))
 
+    rows = _partial_sums(df.select(x.alias("x"))).groupBy().agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sort_array(F.collect_list(F.struct("s", "c"))).alias("p")).first()
+    _counted(rows["n"] or 0, rows["k"] or 0)
+    s, c = neumaier(np.array([x for p in rows["p"] for x in (p["s"], p["c"])]))
+    if not np.isfinite(s + c):
+        raise NumericRefusal("the sum overflows")
+    return s + c
+
+
+def _partial_sums(df: DataFrame) -> DataFrame:
+    """(n, k, s, c, lo, hi) of the one column of each partition: rows, values, their sum and what it lost, least and greatest value."""
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = k = 0
         parts: list[float] = []
+        ends: list[float] = []
         for batch in batches:
             v = batch.column(0)
             n, k = n + len(v), k + len(v) - v.null_count
-            parts += two_sum(v.drop_null().to_numpy(zero_copy_only=False))
+            v = v.drop_null().to_numpy(zero_copy_only=False)
+            parts += two_sum(v)
+            ends += [float(v.min()), float(v.max())] if len(v) else []
         s, c = neumaier(np.array(parts))
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([k]), pa.array([s]), pa.array([c])], ["n", "k", "s", "c"])
+        lo, hi = (min(ends), max(ends)) if ends else (None, None)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([k]), pa.array([s]), pa.array([c]), pa.array([lo], pa.float64()), pa.array([hi], pa.float64())], ["n", "k", "s", "c", "lo", "hi"])
 
-    rows = df.select(x.alias("x")).mapInArrow(part, "n long, k long, s double, c double").groupBy().agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sort_array(F.collect_list(F.struct("s", "c"))).alias("p")).first()
-    _counted(rows["n"] or 0, rows["k"] or 0)
-    s, c = neumaier(np.array([x for p in rows["p"] for x in (p["s"], p["c"])]))
-    if not np.isfinite(s + c):
-        raise NumericRefusal("the sum overflows")
-    return s + c
+    return df.mapInArrow(part, "n long, k long, s double, c double, lo double, hi double")
+
+
+def _compensated(df: DataFrame, column: str) -> DataFrame:
+    """One row (n, k, sum, min, max); the partitions' sums, a few numbers each, are added with compensation."""
+    parts = _partial_sums(df.select(F.col(column).cast("double").alias("x")))
+    row = parts.groupBy().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.sort_array(F.collect_list(F.array("s", "c"))).alias("p"), F.min("lo").alias("min"), F.max("hi").alias("max"))
+    return row.select("n", "k", total(F.flatten("p")).alias("sum"), "min", "max")
 
 
 def _ordered_sum(df: DataFrame) -> float:
@@ -93,21 +110,16 @@ def _counted(n: int, k: int) -> None:
 
 
 def scan_stats(df: DataFrame, column: str) -> DataFrame:
-    """One row (count, sum, mean, min, max); NULLs and an empty input are refused."""
-    x = F.col(column).cast("double")
-    agg = df.agg(F.count("*").alias("n"), F.count(x).alias("count"), F.sum(x).alias("sum"), F.min(x).alias("min"), F.max(x).alias("max"))
-    ok = (F.col("n") > 0) & (F.col("n") == F.col("count"))
-    checked = guard(F.col("sum"), ok, "G601: the column is empty or has rows without a value")
-    checked = F.when(~ok, F.raise_error(F.lit("G601: the column is empty or has rows without a value"))).otherwise(checked)
-    return agg.select("count", checked.alias("sum"), (F.col("sum") / F.col("count")).alias("mean"), "min", "max")
+    """One row (count, sum, mean, min, max); NULLs and an empty input are refused; the sum is compensated."""
+    ok = (F.col("n") > 0) & (F.col("n") == F.col("k"))
+    checked = F.when(~ok, F.raise_error(F.lit("G601: the column is empty or has rows without a value"))).otherwise(F.col("sum"))
+    return _compensated(df, column).select(F.col("k").alias("count"), checked.alias("sum"), (F.col("sum") / F.nullif(F.col("k"), F.lit(0))).alias("mean"), "min", "max")
 
 
 def column_stats(df: DataFrame, column: str) -> DataFrame:
-    """One row (valid_count, mean, min, max) over the values that are not NULL; none is refused."""
-    x = F.col(column).cast("double")
-    agg = df.agg(F.count(x).alias("valid_count"), F.avg(x).alias("m"), F.min(x).alias("min"), F.max(x).alias("max"))
-    mean = F.when(F.col("valid_count") == 0, F.raise_error(F.lit("G601: no valid value"))).otherwise(F.col("m"))
-    return agg.select("valid_count", mean.alias("mean"), "min", "max")
+    """One row (valid_count, mean, min, max) over the values that are not NULL; none is refused; the sum is compensated."""
+    mean = F.when(F.col("k") == 0, F.raise_error(F.lit("G601: no valid value"))).otherwise(F.col("sum") / F.nullif(F.col("k"), F.lit(0)))
+    return _compensated(df, column).select(F.col("k").alias("valid_count"), mean.alias("mean"), "min", "max")
 
 
 def _nonempty(value: Column, x: Column, least: int = 1) -> Column:

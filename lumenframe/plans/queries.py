@@ -87,6 +87,13 @@ def compensated_sum(spark, d):
     return spark.createDataFrame([(round(total, 2),)], "total double")
 
 
+@query("SELECT 3 * count(*) AS \"count\", count(*)::DOUBLE AS \"sum\", -1e16::DOUBLE AS \"min\", 1e16::DOUBLE AS \"max\" FROM orders")
+def cancelling_sum(spark, d):
+    """Each order as 1e16, 1 and -1e16: a plain sum loses the ones."""
+    t = table(spark, d, "orders").select(F.explode(F.array(F.lit(1e16), F.lit(1.0), F.lit(-1e16))).alias("v"))
+    return stats.scan_stats(t, "v").select("count", "sum", "min", "max")
+
+
 @query(
     "SELECT count(v) AS valid_count, round(avg(v), 6) AS mean, min(v) AS \"min\", max(v) AS \"max\" FROM (SELECT CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS v FROM orders)"
 )

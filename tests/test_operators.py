@@ -59,6 +59,22 @@ def test_reductions(spark):
     assert s[0] == 2.0 and s[1] == pytest.approx(math.sqrt(32 / 7))
 
 
+def test_statistics_are_compensated(spark):
+    df = frame(spark, x=pa.array([1e16, 1.0, -1e16, 1.0])).coalesce(1)
+    row = stats.scan_stats(df, "x").first()
+    assert (row["count"], row["sum"], row["mean"], row["min"], row["max"]) == (4, 2.0, 0.5, -1e16, 1e16)
+    gap = frame(spark, x=pa.array([1e16, None, 1.0, -1e16])).repartition(3)
+    assert tuple(stats.column_stats(gap, "x").first()) == (3, 1 / 3, -1e16, 1e16)
+    for bad in (gap, df.where("x > 1e17")):
+        with pytest.raises(Exception, match="G601"):
+            stats.scan_stats(bad, "x").collect()
+    with pytest.raises(Exception, match="G601"):
+        stats.column_stats(df.where("x > 1e17"), "x").collect()
+    a = spark.createDataFrame([(0, k, v) for k, v in enumerate([1e16, 1.0, -1e16])], "row long, col long, value double")
+    one = spark.createDataFrame([(k, 0, 1.0) for k in range(3)], "row long, col long, value double")
+    assert matrix.multiply_compensated(a, one).first()["value"] == 1.0
+
+
 def test_ordered_sum_over_many_ranges(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal(200_000) * 10.0 ** rng.integers(-12, 12, 200_000)
