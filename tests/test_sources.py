@@ -7,9 +7,9 @@ import zipfile
 import numpy as np
 import pytest
 
-from lumenframe.errors import ArtifactRefusal, DataRefusal, LedgerRefusal
-from lumenframe.evidence import inventory, receipts
-from lumenframe.operators import select
+from lumenframe.errors import ArrayRefusal, ArtifactRefusal, DataRefusal, LedgerRefusal, RandomRefusal
+from lumenframe.evidence import access, inventory, joins, receipts
+from lumenframe.operators import random, select
 from lumenframe.sources import arrays, delimited, ecsv, fits, plots, sinks
 from lumenframe.streaming.batches import Batches, FitsBatchReader, stream_copy
 
@@ -265,10 +265,89 @@ def test_evidence(spark, tmp_path):
 def test_inventory(spark, tmp_path):
     d = tmp_path / "d"
     os.makedirs(d / "sub")
-    put(d / "a.txt", "1")
-    put(d / "sub" / "b.txt", "2")
-    before = spark.createDataFrame(inventory.inventory(spark, str(d)).collect())
+    for name, text in (("a.txt", "1"), ("sub/b.txt", "2"), ("gone.txt", "4"), ("linked.txt", "5")):
+        put(d / name, text)
+    before = spark.createDataFrame(inventory.inventory(spark, str(d)).collect(), inventory.SCHEMA)
+    assert inventory.verdict(inventory.check(before, inventory.inventory(spark, str(d)))) == "MATCH"
     put(d / "a.txt", "changed")
     put(d / "c.txt", "3")
-    got = {r["key"]: r["status"] for r in inventory.check(before, inventory.inventory(spark, str(d))).collect()}
-    assert got == {"a.txt": "CONTENT_CHANGED", "sub/b.txt": "MATCH", "c.txt": "ADDED"}
+    os.unlink(d / "gone.txt")
+    os.unlink(d / "linked.txt")
+    os.symlink(d / "a.txt", d / "linked.txt")
+    after = inventory.inventory(spark, str(d))
+    got = {r["key"]: r["status"] for r in inventory.check(before, after).collect()}
+    assert got == {"a.txt": "CONTENT_CHANGED", "sub/b.txt": "MATCH", "c.txt": "ADDED", "gone.txt": "MISSING", "linked.txt": "UNSUPPORTED"}
+    other = spark.createDataFrame([("sub", None, None, "NOT_LISTED"), ("a.txt", None, None, "UNSTABLE_DURING_READ"), ("c.txt", None, None, "UNREADABLE")], inventory.SCHEMA)
+    results = inventory.check(before, other)
+    assert {r["key"]: r["status"] for r in results.collect()} == {"a.txt": "UNSTABLE_DURING_READ", "c.txt": "UNREADABLE", "sub/b.txt": "NOT_OBSERVED", "gone.txt": "NOT_OBSERVED", "linked.txt": "NOT_OBSERVED"}
+    assert inventory.verdict(results) == "INCOMPLETE"
+
+
+def test_observation_of_a_file_that_changes(tmp_path, monkeypatch):
+    p = put(tmp_path / "x", "1" * 10)
+    assert inventory._observe(p)[2] == "OBSERVED" and inventory._observe(str(tmp_path / "no"))[2] == "UNREADABLE" and inventory._observe(str(tmp_path))[2] == "UNSUPPORTED"
+    stat, calls = os.stat, []
+
+    def later(path, **kw):
+        calls.append(path)
+        if len(calls) == 2:
+            put(tmp_path / "x", "2" * 11)
+        return stat(path, **kw)
+
+    monkeypatch.setattr(inventory.os, "stat", later)
+    assert inventory._observe(p) == (None, None, "UNSTABLE_DURING_READ")
+
+
+def test_access_and_parameters(tmp_path):
+    a = access.Access(files=2, calls=4)
+    a.open(str(tmp_path / "x.csv"), "csv")
+    a.open(str(tmp_path / "." / "x.csv"), "csv")
+    with pytest.raises(DataRefusal):
+        a.open(str(tmp_path / "x.csv"), "fits")
+    a.open(str(tmp_path / "y.csv"), "csv")
+    with pytest.raises(DataRefusal):
+        a.open(str(tmp_path / "z.csv"), "csv")
+    a.open(str(tmp_path / "y.csv"), "csv")
+    with pytest.raises(DataRefusal):
+        a.open(str(tmp_path / "y.csv"), "csv")
+    p = access.Parameters(["one", "two"], ["yes"])
+    assert p.evidence()["arguments"] is None and (p.argc(), p.argv(1), p.input("really?")) == (2, "two", "yes")
+    for f in (lambda: p.argv(2), lambda: p.argv(-1), lambda: p.input(), lambda: access.Parameters().input(), lambda: access.Parameters(["x"] * 100)):
+        with pytest.raises(ArrayRefusal):
+            f()
+    assert p.evidence() == {"arguments": ["one", "two"], "answers": [{"prompt": "really?", "answer": "yes"}]}
+
+
+def test_traces():
+    def half(x):
+        return x / 2
+
+    one, two = access.Trace(), access.Trace()
+    for t in (one, two):
+        f = t.traced(half)
+        assert [f(x) for x in (1, 2)] == [0.5, 1.0]
+    assert one.evidence() == two.evidence() and one.evidence()["half"]["calls"] == 2
+    two.traced(half)(3)
+    assert one.evidence() != two.evidence()
+    s = random.Stream(5, 6)
+    s.words(7)
+    s.uniform()
+    body = access.stream_evidence(5, 6, s, 9)
+    assert access.replays(body) and not access.replays(body | {"words": 8})
+    with pytest.raises(RandomRefusal):
+        access.stream_evidence(5, 6, s, 10)
+
+
+def test_joins_run_again(spark, tmp_path):
+    left = put(tmp_path / "l.csv", "id,v\n7,a\n3,\"b,c\"\n5,d\n")
+    right = put(tmp_path / "r.csv", "id,w\n5,x\n7,\n")
+    folder = str(tmp_path / "run")
+    out = joins.join_files(spark, folder, "out.csv", left, right, "id", "id", "left", "L_", "R_")
+    assert open(out, encoding="utf-8").read() == '__join_matched,L_id,L_v,R_id,R_w\ntrue,7,a,7,\nfalse,3,"b,c",\\N,\\N\ntrue,5,d,5,x\n'
+    joins.reconstruct(spark, folder)
+    assert sorted(os.listdir(folder)) == ["imports", "join.json", "out.csv"]
+    put(tmp_path / "run" / "imports" / "right-r.csv", "id,w\n5,y\n7,\n")
+    with pytest.raises(DataRefusal):
+        joins.reconstruct(spark, folder)
+    with pytest.raises(DataRefusal):
+        joins.join_files(spark, str(tmp_path / "other"), "out.csv", left, put(tmp_path / "d.csv", "id,w\n5,y\n5,z\n"), "id", "id", "left", "L_", "R_")
