@@ -3,6 +3,7 @@ import json
 import os
 import struct
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -262,6 +263,31 @@ def test_evidence(spark, tmp_path):
         book.audit()
 
 
+def test_png_plots(spark, tmp_path):
+    d = str(tmp_path)
+    made = [plots.scatter(d, "s.png", [0.0, 1, 2], [5.0, 3, 9], "dots", "x", "y"), plots.line(d, "l.png", [0.0, 1, 2], [5.0, 3, 9], "path", "x", "y"), plots.histogram(spark.range(10).selectExpr("cast(id as double) x"), "x", 3, d, "h.png", "bars", "x"), plots.line(d, "l.svg", [0.0, 1], [5.0, 3], "p", "x", "y")]
+    dark = []
+    for path in made[:3]:
+        raw = open(path, "rb").read()
+        at, idat = 8, b""
+        while at < len(raw):
+            n, kind = struct.unpack(">I4s", raw[at : at + 8])
+            assert zlib.crc32(raw[at + 4 : at + 8 + n]) == struct.unpack(">I", raw[at + 8 + n : at + 12 + n])[0]
+            idat += raw[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+            at += 12 + n
+        image = np.frombuffer(zlib.decompress(idat), np.uint8).reshape(400, 641)
+        assert not image[:, 0].any() and image[10, 10] == 255
+        dark.append(int((image[:, 1:] < 200).sum()))
+    assert dark[0] < dark[1] < dark[2]
+    assert [plots.provenance(p)["kind"] for p in made] == ["scatter", "line", "histogram", "line"]
+    again = plots.scatter(d, "again.png", [0.0, 1, 2], [5.0, 3, 9], "dots", "x", "y")
+    assert open(again, "rb").read() == open(made[0], "rb").read()
+    side = json.load(open(made[3] + ".json", encoding="utf-8"))
+    put(tmp_path / "l.svg.json", json.dumps(side | {"title": "other"}))
+    with pytest.raises(DataRefusal):
+        plots.provenance(made[3])
+
+
 def test_inventory(spark, tmp_path):
     d = tmp_path / "d"
     os.makedirs(d / "sub")
