@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..session import saved, shared_dir  # noqa: F401
 
 BLOCK_BYTES = 1 << 20
+ROWS_PER_PART = 25_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, bool)
@@ -29,6 +30,12 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as this many small rows are worth, if it would have more."""
+    parts = 1 + rows // ROWS_PER_PART
+    return df.coalesce(parts) if parts < shuffle_width(df.sparkSession) else df
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finalising mixer on uint64, in place."""
     h ^= h >> _U(30)
@@ -185,13 +192,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
     both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    first = both.groupBy("a").agg(F.min("b").alias("least"))
+    size = both.count()
+    first = narrow(both.groupBy("a").agg(F.min("b").alias("least")), size)
     labels = saved(first.select(F.col("a").alias("node"), F.least("a", "least").alias("comp")), "labels0")
     for i in itertools.count(1):
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
+        near = narrow(both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("other")), "b"), size).groupBy("a").agg(F.min("other").alias("other"))
         new = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("comp", "other").alias("comp"), F.col("comp").alias("was"))
+        new = narrow(new, size)
         root = new.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        step = saved(new.join(root, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"), "was"), f"labels{i}")
+        step = saved(narrow(new.join(root, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"), "was"), size), f"labels{i}")
         if step.where("comp <> was").limit(1).count() == 0:
             return step.select("node", "comp")
         labels = step.select("node", "comp")

@@ -1,109 +1,242 @@
 """Components of a similarity graph from inverted lists, without all pairs of a list.
 
-Every list is first compared with two of its members only (the least and the
-greatest), so a list of any length costs two pairs a member. What these
-verified links join is one component. Pairs inside a component need no
-comparison any more. Members of lists that still mix components are compared
-in two ways. Pairs that share a rare value (one that at most ``RARE`` of these
-members hold) come from the rare values' own short lists, so their number is
-linear. A pair that shares no rare value has no more than the frequent values
-in its intersection; members of one list are paired only where that bound
-allows a link. Together these are all pairs that can link, so no link between
-different components is lost.
+Every list is first compared with one of its members only: the hub, which is
+the member with the longest lists, as the least altered one of a group of
+near copies is. So a list of any length costs one pair a member, and what
+these verified links join is one component. Pairs inside a component need no
+comparison any more. Of the lists that still mix components, those of at most
+``SHORT`` members give all their pairs, a bounded number a member. The members
+of longer ones are compared by an exact prefix filter over their own sets:
+values are ordered by how many of these members hold them, rarest first, and a
+pair that links must share a value so early in either order that what follows
+still suffices. Values that a whole group holds thus pair only members that
+could link, so no link between different components is lost and no list is
+paired with itself.
+
+Members that lists connect form a block. A block of at most ``BLOCK_VALUES``
+values is filtered in one task; the blocks beyond go through joins by value.
+There, which sizes of a partner suffice at a place is part of the join key,
+and of each key's rows those of its most frequent component are never paired
+with each other. Both ways find the same pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 
-SAMPLE = 256
-RARE = 8
+SAMPLE = 512
+SHORT = 8
+BLOCK_VALUES = 1 << 21
+#: Partner sizes are told apart by this many classes to a factor of e.
+CLASSES = 50
+_EPS = 1e-6
+
+
+def top(level: int) -> int:
+    """Greatest 63-bit value of a level's sample."""
+    return (1 << (63 - level)) - 1
 
 
 def sample(values: np.ndarray) -> tuple[int, np.ndarray]:
-    """(bound, held) of a set of sorted 63-bit hash values.
+    """(level, held) of a set of sorted 63-bit hash values.
 
-    About SAMPLE values lie up to bound (all of a smaller set); held are
-    those up to twice that bound, so that a set of up to twice the size holds
-    every value that a smaller one is judged by.
+    At most about SAMPLE values lie up to top(level), all of a smaller set at
+    level 0. Held are those up to top(level - 1), so that a set also has the
+    values by which sets of the level below are judged.
     """
     level = max(0, (len(values) - 1) // SAMPLE).bit_length()
-    top = lambda k: (1 << (63 - k)) - 1
-    return top(level), values[: np.searchsorted(values, np.uint64(top(max(0, level - 1))), "right")]
+    return level, values[: np.searchsorted(values, np.uint64(top(max(0, level - 1))), "right")]
 
 
-def _rooms(sets: DataFrame, rare: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, n, room, whole): room is the most values of a node that are not rare.
+def block_pairs(node: np.ndarray, comp: np.ndarray, level: np.ndarray, held: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a block's nodes from different components that may link.
 
-    A sample that is the whole set counts exactly; of a larger set the share
-    of rare values is taken five standard deviations lower.
+    A pair is judged at the finest level that both nodes hold.
+    """
+    found, size_found = [np.zeros((2, 0), np.int64)], 0
+    t = num / den
+    for lv in np.unique(np.r_[level, np.maximum(level - 1, 0)]):
+        mine = np.flatnonzero((level == lv) | (level == lv + 1))
+        sets = [held[i][: np.searchsorted(held[i], np.uint64(top(int(lv))), "right")] for i in mine]
+        m = np.array([len(x) for x in sets])
+        if m.sum() < 2:
+            continue
+        _, v, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(mine)), m)
+        order = np.lexsort((v, often[v], of))
+        v, left = v[order], np.repeat(np.cumsum(m), m) - np.arange(len(v))
+        low = np.full(len(m), t) if lv == 0 else np.maximum(t - 5 * np.sqrt(t * (1 - t) / np.maximum(m, 1)), 0.05)
+        early = (often[v] > 1) & (left >= low[of] * m[of] - _EPS)
+        of, v, left = of[early], v[early], left[early]
+        order = np.argsort(v, kind="stable")
+        of, v, left = of[order], v[order], left[order]
+        r, c_ = (low / (1 + low))[of], comp[mine][of]
+        size, coarse = m[of], (level[mine][of] > lv) | (lv == 0)
+
+        def fits(x, y, size=size, left=left, r=r, c_=c_, coarse=coarse):
+            return (c_[x] != c_[y]) & (coarse[x] | coarse[y]) & (np.minimum(left[x], left[y]) >= np.minimum(r[x], r[y]) * (size[x] + size[y]) - _EPS)
+
+        first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[first, len(v)])
+        near = np.flatnonzero(np.repeat(count <= 32, count))
+        for d in range(1, 32):
+            x = near[:-d] if len(near) > d else near[:0]
+            y = x + d
+            x = x[(y < len(v)) & (v[np.minimum(y, len(v) - 1)] == v[x])] if len(x) else x
+            x = x[fits(x, x + d)]
+            found.append(np.stack([mine[of[x]], mine[of[x + d]]]))
+        for at, k in zip(first[count > 32].tolist(), count[count > 32].tolist(), strict=True):
+            kinds, kind, often_ = np.unique(c_[at : at + k], return_inverse=True, return_counts=True)
+            if len(kinds) > 1:
+                every = np.arange(at, at + k)
+                for x in every[kind != often_.argmax()].tolist():
+                    y = every[fits(np.full(k, x), every)]
+                    found.append(np.stack([np.full(len(y), mine[of[x]]), mine[of[y]]]))
+                    size_found += len(y)
+                if size_found > 1 << 20:
+                    found, size_found = [_once(found)], 0
+    x, y = _once(found)
+    return node[x], node[y]
+
+
+def _once(found: list[np.ndarray]) -> np.ndarray:
+    """The distinct pairs of numbers below 2**31."""
+    a, b = np.sort(np.concatenate(found, 1), 0)
+    both = np.unique(a << 32 | b)
+    return np.stack([both >> 32, both & 0xFFFFFFFF])
+
+
+def _blocks(num: int, den: int):
+    """(x, y) of rows (block, node, comp, level, held) that come sorted by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def finish() -> pa.RecordBatch:
+            _, node, comp, level, held = zip(*rows, strict=True)
+            x, y = block_pairs(np.array(node), np.array(comp), np.array(level), list(held), num, den)
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+
+        for batch in batches:
+            off, flat = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy().view(np.uint64)
+            held = [flat[a:b].copy() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            for row in zip(*[batch.column(i).to_pylist() for i in range(4)], held, strict=True):
+                if rows and row[0] != rows[-1][0]:
+                    yield finish()
+                    rows.clear()
+                rows.append(row)
+        if rows:
+            yield finish()
+
+    return run
+
+
+def _far_pairs(lists: DataFrame, values: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """(x, y): all pairs from different components that may link, of the nodes in lists(key, node, comp)."""
+    nodes = c.saved(lists.select("node", "comp").distinct(), "far")
+    sets = c.saved(values(nodes.select("node")).join(nodes, "node"), "samples")
+    ends = lists.groupBy("key").agg(F.min("node").alias("end"))
+    block = c.connected_components(lists.join(ends, "key").select(F.col("node").alias("a"), F.col("end").alias("b")))
+    sized = sets.join(block.withColumnRenamed("comp", "block"), "node")
+    large = c.saved(sized.groupBy("block").agg(F.sum(F.size("held")).alias("n")).where(F.col("n") > BLOCK_VALUES).select("block"), "large-blocks")
+    whole = sized.join(large, "block", "left_anti").repartition("block").sortWithinPartitions("block").select("block", "node", "comp", "level", "held")
+    pairs = whole.mapInArrow(_blocks(num, den), "x long, y long")
+    if large.limit(1).count():
+        rest = c.saved(sized.join(large, "block", "left_semi").select(sets.columns), "large")
+        pairs = pairs.unionByName(_prefix_pairs(rest, num, den))
+    return pairs
+
+
+def _prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y): all pairs from different components of sets(node, comp, level, held) that may link, by joins.
+
+    A whole set is judged exactly; of a sampled one the threshold is taken
+    five standard deviations lower.
     """
-    own = rare.where("x <= bound").groupBy("node").agg(F.count("*").alias("u"))
-    p = 1 - num / den
-    m = F.size(F.filter("held", lambda x: x <= F.col("bound")))
-    u = F.coalesce("u", F.lit(0))
-    part = F.greatest(F.lit(0.0), u / m - 5 * F.sqrt(F.lit(p * (1 - p)) / m))
-    whole = (F.size("held") == F.col("n")) & (m == F.col("n"))
-    lost = F.when(whole, u).when(m > 0, F.floor(F.col("n") * part)).otherwise(0)
-    return sets.join(own, "node", "left").select("node", "n", (F.col("n") - lost).alias("room"), whole.alias("whole"))
-
-
-def _cross_pairs(placed: DataFrame, values: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """(a, b): pairs of different components, from lists(key, node, comp) that mix some, which may link."""
+    # a pair is judged at the finest level that both hold: one of the two is coarser there, or has it all
+    levels = sets.withColumn("lv", F.explode(F.when(F.col("level") > 0, F.array("level", F.col("level") - 1)).otherwise(F.array("level"))))
+    upto = F.expr(f"shiftright({top(0)}L, lv)")
+    coarse = sets.select("node", "comp", F.col("level").alias("own"))
+    at_level = levels.select("node", "lv", F.filter("held", lambda v: v <= upto).alias("s")).where(F.size("s") > 0)
+    tokens = at_level.select("node", "lv", F.size("s").alias("m"), F.explode("s").alias("v"))
+    often = tokens.groupBy("lv", "v").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = tokens.join(often, ["lv", "v"]).groupBy("node", "lv", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("t"))
+    # values that one member holds alone come first and meet no one
+    place = ordered.select("node", "lv", "m", (F.col("m") - F.size("t")).alias("alone"), F.posexplode("t").alias("i", "t"))
+    t = num / den
+    low = F.when(F.col("lv") == 0, F.lit(t)).otherwise(F.lit(t) - 5 * F.sqrt(F.lit(t * (1 - t)) / F.col("m")))
+    low = F.greatest(low, F.lit(0.05))
+    rows = place.select("node", "lv", F.col("t.v").alias("v"), "m", (F.col("m") - F.col("alone") - F.col("i")).alias("left"), (low / (1 + low)).alias("r"), low.alias("low"))
+    rows = rows.where(F.col("left") >= F.col("low") * F.col("m") - _EPS).join(coarse, "node")
+    rows = rows.withColumn("coarse", (F.col("own") > F.col("lv")) | (F.col("lv") == 0)).drop("own")
+    rows = c.saved(rows, "prefixes")
+    met = rows.groupBy("lv", "v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("lv", "v")
+    rows = rows.join(met, ["lv", "v"])
+
+    def size_class(m):
+        return F.floor(F.log(m) * CLASSES).cast("int")
+
+    less = rows.where(F.col("left") >= 2 * F.col("r") * F.col("m") - _EPS).withColumn("size", size_class(F.col("m")))
+    most = F.col("left") / F.col("r") - F.col("m") + _EPS
+    first, last = size_class(F.greatest(F.col("low") * F.col("m") - _EPS, F.lit(1.0))), F.least(size_class(F.col("m")), size_class(F.greatest(most, F.lit(1.0))))
+    more = rows.withColumn("size", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
+    key = ["lv", "v", "size"]
+    kinds = less.select(*key, "comp").unionByName(more.select(*key, "comp")).groupBy(*key, "comp").agg(F.count("*").alias("k"))
+    mixed = kinds.groupBy(*key).agg(F.max_by("comp", F.struct("k", "comp")).alias("mode"), F.count("*").alias("kinds")).where("kinds > 1").select(*key, "mode")
+
+    def side(part: DataFrame, s: str) -> DataFrame:
+        part = part.join(mixed, key)
+        return part.select(*key, F.col("node").alias(s), F.col("comp").alias(f"c{s}"), F.col("m").alias(f"m{s}"), F.col("left").alias(f"l{s}"), F.col("r").alias(f"r{s}"), F.col("coarse").alias(f"k{s}"), (F.col("comp") != F.col("mode")).alias(f"o{s}"))
+
+    small, large = side(less, "x"), side(more, "y")
+    fits = (F.col("cx") != F.col("cy")) & ((F.col("mx") < F.col("my")) | ((F.col("mx") == F.col("my")) & (F.col("x") < F.col("y"))))
+    fits &= (F.col("kx") | F.col("ky")) & (F.least("lx", "ly") >= F.least("rx", "ry") * (F.col("mx") + F.col("my")) - _EPS)
+    one = small.where("ox").join(large, key).where(fits).select("x", "y")
+    two = small.where("not ox").join(large.where("oy"), key).where(fits).select("x", "y")
+    return one.unionByName(two)
+
+
+def _cross_pairs(sized: DataFrame, label: DataFrame, values: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """(a, b): pairs of different components, from lists(key, node, k) that mix some, which may link."""
+    placed = c.saved(sized.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    rest = c.saved(placed.join(mixed, "key"), "mixed")
-    sets = c.saved(values(rest.select("node").distinct()), "samples")
-    posts = sets.select("node", "bound", F.explode("held").alias("x"))
-    counts = posts.groupBy("x").agg(F.count("*").alias("k")).where(F.col("k") <= RARE)
-    rare = c.saved(posts.join(counts, "x"), "rare")
-    nodes = _rooms(sets, rare, num, den).join(rest.select("node", "comp").distinct(), "node")
-    nodes = c.saved(nodes, "rooms")
-
-    def side(rows: DataFrame, s: str, *more) -> DataFrame:
-        return rows.select(F.col(rows.columns[0]).alias("on"), F.col("node").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("room").alias(f"r{s}"), F.col("whole").alias(f"w{s}"), *more)
-
-    def allowed(more):
-        most = F.least(F.col("rx"), F.col("ry")) + more
-        return den * most >= num * (F.col("nx") + F.col("ny") - most)
-
-    sized = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
-    short = rare.where("k > 1").select("x", "node").join(nodes, "node").select("x", "node", "comp", "n", "room", "whole")
-    x, y = side(short, "x"), side(short, "y")
-    met = x.join(y, (x["on"] == y["on"]) & (F.col("cx") < F.col("cy")) & sized).groupBy("x", "y", "nx", "ny", "rx", "ry", "wx", "wy").agg(F.count("*").alias("s"))
-    some = met.where(~(F.col("wx") & F.col("wy")) | allowed(F.col("s"))).select("x", "y")
-    # a pair is taken in the least of the lists that both stand in, so it is made once
-    keys = rest.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    able = nodes.where(den * F.col("room") >= num * F.col("n")).join(keys, "node").withColumn("key", F.explode("keys")).select("key", "node", "comp", "n", "room", "whole", "keys")
-    x, y = (side(able, t, F.col("keys").alias(f"k{t}")) for t in "xy")
-    once = F.element_at(F.array_intersect("kx", "ky"), 1) == x["on"]
-    none = x.join(y, (x["on"] == y["on"]) & (F.col("cx") < F.col("cy")) & sized & allowed(F.lit(0)) & once).select("x", "y")
-    return some.unionByName(none).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rest = c.saved(c.narrow(placed.join(mixed, "key"), placed.count()), "mixed")
+    x, y = (rest.where(F.col("k") <= SHORT).select("key", F.col("node").alias(s), F.col("comp").alias(f"c{s}")) for s in "xy")
+    pairs = x.join(y, "key").where("x < y and cx <> cy").select("x", "y")
+    far = rest.where(F.col("k") > SHORT)
+    if far.limit(1).count():
+        pairs = pairs.unionByName(_far_pairs(far.select("key", "node", "comp"), values, num, den))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], values: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """(node, comp) of the nodes that have a verified link, from lists(key, node).
 
     verify takes distinct pairs (a, b) with a < b and returns those that
-    link, that is den * intersection >= num * union of their sets.
+    link, that is den * intersection >= num * union of their sets; values
+    takes nodes and returns (node, level, held), see sample.
     """
-    lists = c.saved(lists.select("key", "node").distinct(), "lists")
-    ends = lists.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    hub = lists.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node <> other")
-    first = c.saved(hub.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "hub-pairs")
-    links = c.saved(verify(first), "hub-links")
+    lists = lists.select("key", "node").distinct()
+    sizes = lists.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    sized = c.saved(lists.join(sizes, "key"), "lists")
+    size = sized.count()
+    weight = sized.groupBy("node").agg(F.sum("k").alias("w"))
+    hubs = c.narrow(sized.join(weight, "node"), size).groupBy("key").agg(F.max(F.struct("w", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+    pairs = c.narrow(sized.join(hubs, "key").where("node <> hub"), size)
+    first = c.saved(c.narrow(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), size), "hub-pairs")
+    links = c.saved(c.narrow(verify(first), 8 * first.count()), "hub-links")
     label = c.connected_components(links)
-    placed = c.saved(lists.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    pairs = _cross_pairs(placed, values, num, den)
-    second = c.saved(pairs.join(first, ["a", "b"], "left_anti"), "cross-pairs")
+    second = c.saved(_cross_pairs(sized, label, values, num, den).join(first, ["a", "b"], "left_anti"), "cross-pairs")
     if second.limit(1).count() == 0:
         return label
-    more = c.saved(verify(second), "cross-links")
+    more = c.saved(c.narrow(verify(second), 8 * second.count()), "cross-links")
     if more.limit(1).count() == 0:
         return label
     return c.connected_components(links.unionByName(more))
