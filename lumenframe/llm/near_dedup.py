@@ -13,7 +13,9 @@ and are then confirmed on the full sets of both texts.
 
 Defined results: null text, or text without words, has an empty set, no
 links, and is its own component; texts below the shingle width are one
-shingle; of rows with one doc_id each has the component of its own text;
+shingle; of rows with one doc_id each has the component of its own text; a
+null doc_id links like any other, but a component is named by the smallest
+doc_id that is not null (null if there is none);
 repeated rows repeat their result; an empty table gives an empty result;
 columns other than doc_id and text are not read.
 """
@@ -43,32 +45,55 @@ def _block_sets(b: c.Block, words: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return h, first, doc[first]
 
 
-def _digests(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _digests(h: np.ndarray, first: np.ndarray, seed: int = 0x5851F42D4C957F2D) -> np.ndarray:
     """One order-free 63-bit digest of each set."""
     if not len(first):
         return np.zeros(0, np.int64)
-    return (c.mix64(np.add.reduceat(c.mix64(h + _U(0x5851F42D4C957F2D)), first)) >> _U(1)).view(np.int64)
+    return (c.mix64(np.add.reduceat(c.mix64(h + _U(seed)), first)) >> _U(1)).view(np.int64)
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sketch) of docs(doc_id, text); empty sets have null set_id."""
+def sketches(docs: DataFrame, words: int, id_bits: int = 63) -> DataFrame:
+    """(doc_id, th, n_shingles, set_id, other, sketch) of docs(doc_id, text); empty sets have null set_id.
+
+    th is a hash of the text, other a second digest of the set.
+    """
+    mask = (1 << id_bits) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in c.blocks(batch.column(1)):
                 h, first, which = _block_sets(b, words)
                 size = np.diff(np.r_[first, len(h)])
-                n, set_id, has = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64), np.zeros(len(b), bool)
-                n[which], set_id[which], has[which] = size, _digests(h, first), True
+                n, has = np.zeros(len(b), np.int64), np.zeros(len(b), bool)
+                set_id, other = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+                n[which], set_id[which], has[which] = size, _digests(h, first) & mask, True
+                other[which] = _digests(h, first, 0x14057B7EF767814F)
                 kept = np.zeros(len(b), np.int64)
                 kept[which] = np.minimum(size, SKETCH)
                 place = np.arange(len(h)) - np.repeat(first, size)
                 values = pa.array(h[place < SKETCH].view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)].astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.rows.start, len(b)), pa.array(n), pa.array(set_id, mask=~has), lists], ["doc_id", "n_shingles", "set_id", "sketch"])
+                own = [batch.column(i).slice(b.rows.start, len(b)) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(set_id, mask=~has), pa.array(other, mask=~has), lists], ["doc_id", "th", "n_shingles", "set_id", "other", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long, sketch array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, n_shingles long, set_id long, other long, sketch array<long>")
+
+
+def _sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): unequal sets never share a set_id; one that another has taken by chance is drawn anew."""
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        one = [F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least_doc"), F.min(F.struct("doc_id", "th")).alias("at")]
+        return c.saved(rows.where("set_id is not null").groupBy("set_id").agg(*one, F.min("other").alias("least"), F.max("other").alias("most")), "sets")
+
+    sets = grouped(rows)
+    while sets.where("least <> most").limit(1).count():
+        taken = sets.where("least <> most").select("set_id", "least")
+        fresh = F.shiftrightunsigned(F.xxhash64("set_id", "other"), 1)
+        rows = c.saved(rows.join(taken, "set_id", "left").withColumn("set_id", F.when(F.col("other") != F.col("least"), fresh).otherwise(F.col("set_id"))).select(rows.columns), "sketches")
+        sets = grouped(rows)
+    return rows, sets
 
 
 def _inverted_lists(sets: DataFrame) -> DataFrame:
@@ -115,15 +140,16 @@ def _confirm(texts: DataFrame, sets: DataFrame, words: int, num: int, den: int):
     return verify
 
 
-def _listed_texts(docs: DataFrame, sets: DataFrame, lists: DataFrame, words: int) -> DataFrame:
+def _listed_texts(docs: DataFrame, sets: DataFrame, lists: DataFrame) -> DataFrame:
     """(set_id, text): one text of every set that stands in a list."""
-    where = lists.select(F.col("node").alias("set_id")).distinct().join(sets.select("set_id", F.col("least_doc").alias("doc_id")), "set_id")
-    texts = docs.select("doc_id", "text").join(where, "doc_id").select("set_id", "text")
-    return c.saved(texts.mapInArrow(_own_text(words), "set_id long, text string"), "texts").dropDuplicates(["set_id"])
+    where = lists.select(F.col("node").alias("set_id")).distinct().join(sets.select("set_id", F.col("at.doc_id").alias("_of"), F.col("at.th").alias("_th")), "set_id")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    found = keyed.join(where, keyed["doc_id"].eqNullSafe(where["_of"]) & (keyed["th"] == where["_th"])).select("set_id", "text")
+    return c.saved(found.dropDuplicates(["set_id"]), "texts")
 
 
 def _samples(texts: DataFrame, words: int):
-    """nodes -> (node, n, bound, held): a sample of each node's full set, see linking.sample."""
+    """nodes -> (node, level, held): a sample of each node's full set, see linking.sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,35 +157,18 @@ def _samples(texts: DataFrame, words: int):
             for b in c.blocks(batch.column(1)):
                 h, first, which = _block_sets(b, words)
                 sets = np.split(h, first[1:]) if len(first) else []
-                bound, held = zip(*map(sample, sets), strict=True) if sets else ((), ())
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(b.rows.start + which)), pa.array([len(x) for x in sets], pa.int64()), pa.array(bound, pa.int64()), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))], ["node", "n", "bound", "held"])
-
-    return lambda nodes: texts.withColumnRenamed("set_id", "node").join(nodes, "node").select("node", "text").mapInArrow(run, "node long, n long, bound long, held array<long>")
-
-
-def _own_text(words: int):
-    """Keep the rows whose text has the wanted set: a doc_id may stand on several rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            want = batch.column(0).to_numpy()
-            for b in c.blocks(batch.column(1)):
-                h, first, which = _block_sets(b, words)
-                got = np.full(len(b), -1, np.int64)
-                got[which] = _digests(h, first)
-                yield batch.slice(b.rows.start, len(b)).filter(pa.array(got == want[b.rows]))
+                level, held = zip(*map(sample, sets), strict=True) if sets else ((), ())
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(b.rows.start + which)), pa.array(level, pa.int32()), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))], ["node", "level", "held"])
 
-    return run
+    return lambda nodes: texts.withColumnRenamed("set_id", "node").join(nodes, "node").select("node", "text").mapInArrow(run, "node long, level int, held array<long>")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_bits: int = 63) -> DataFrame:
     """(doc_id, set_id, n_shingles, component_id, kept) where a link is den * intersection >= num * union."""
     docs = docs.select("doc_id", "text")
-    rows = c.saved(sketches(docs, words), "sketches")
-    sets = rows.where("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least_doc"))
-    sets = c.saved(sets, "sets")
+    rows, sets = _sets(c.saved(sketches(docs, words, id_bits), "sketches"))
     lists = c.saved(_inverted_lists(sets), "inverted")
-    texts = _listed_texts(docs, sets, lists, words)
+    texts = _listed_texts(docs, sets, lists)
     label = components(lists, _confirm(texts, sets, words, num, den), _samples(texts, words), num, den)
     owner = sets.select("set_id", "least_doc").join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     least = owner.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
