@@ -36,24 +36,33 @@ _ODD = re.compile("[^\t\n\r\x20-\x7e¡-ɏ‐-‧€]|<\\|")
 
 
 @lru_cache(4)
-def _encoder(name: str):
+def _reference(name: str):
     import os
 
     import public_tokenizers as p
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    slow = Tokenizer.from_file(p.path(name))
+    return Tokenizer.from_file(p.path(name))
+
+
+@lru_cache(4)
+def _twin(name: str):
+    """The faster library with the same vocabulary, if there is a file for it."""
+    import os
+
+    import public_tokenizers as p
+
     twin = p.path(name.removesuffix(".json") + ".tiktoken")
     if not os.path.exists(twin):
-        return slow, None
+        return None
     import base64
 
     import tiktoken
 
     with open(twin, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return slow, tiktoken.Encoding("twin", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("twin", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(text: str, tokenizer: str) -> list[int]:
@@ -62,10 +71,9 @@ def encode(text: str, tokenizer: str) -> list[int]:
     Plain Latin text goes through the faster library that holds the same
     vocabulary; any other text through tokenizers itself.
     """
-    slow, fast = _encoder(tokenizer)
-    if fast is None or _ODD.search(text):
-        return slow.encode(text, add_special_tokens=False).ids
-    return fast.encode_ordinary(text)
+    if _ODD.search(text) or _twin(tokenizer) is None:
+        return _reference(tokenizer).encode(text, add_special_tokens=False).ids
+    return _twin(tokenizer).encode_ordinary(text)
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = WIDTH) -> DataFrame:
