@@ -65,12 +65,12 @@ def base_counts(text):
 
 
 def kneser_ney(docs):
-    """Mean negative log probability of each (text, lang), modified Kneser-Ney over character 4-grams."""
+    """Mean negative log probability of each (text, lang), modified Kneser-Ney over character 4-grams; a 4-gram that only this text holds is unseen."""
     units = []
     for text, lang in docs:
         raw = (text or "").lower().replace("\0", " ").encode("utf-16-le")
         units.append((lang or "und", [0, 0, 0] + [int.from_bytes(raw[i : i + 2], "little") for i in range(0, len(raw), 2)]))
-    prob = {}
+    prob, fours = {}, {}
     for lang in {u[0] for u in units}:
         c4 = Counter(tuple(u[i - 3 : i + 1]) for name, u in units if name == lang for i in range(3, len(u)))
         counts = {4: c4}
@@ -86,22 +86,28 @@ def kneser_ney(docs):
             for g, v in c.items():
                 total[g[:-1]] += v
                 kinds[g[:-1]][min(v, 3)] += 1
-            p = {g: (v - d[min(v, 3)]) / total[g[:-1]] + sum(d[k] * kinds[g[:-1]][k] for k in (1, 2, 3)) / total[g[:-1]] * (p[g[1:]] if n > 1 else 1 / 65536) for g, v in c.items()}
-        prob[lang] = p
-    return [-sum(math.log(prob[lang][tuple(u[i - 3 : i + 1])]) for i in range(3, len(u))) / (len(u) - 3) if len(u) > 3 else None for lang, u in units]
+            low = {g: sum(d[k] * kinds[g[:-1]][k] for k in (1, 2, 3)) / total[g[:-1]] * (p[g[1:]] if n > 1 else 1 / 65536) for g in c}
+            p = {g: (v - d[min(v, 3)]) / total[g[:-1]] + low[g] for g, v in c.items()}
+        prob[lang], fours[lang] = (p, low), c4
+    out = []
+    for lang, u in units:
+        own = Counter(tuple(u[i - 3 : i + 1]) for i in range(3, len(u)))
+        p, low = prob[lang]
+        out.append(-sum(n * math.log(p[g] if n < fours[lang][g] else low[g]) for g, n in own.items()) / (len(u) - 3) if len(u) > 3 else None)
+    return out
 
 
-def line_components(docs, minimum=16, k=8, num=80, den=100):
+def line_components(docs, k=8, num=80, den=100):
     """Dropped (doc_id, line) of documents with distinct ids."""
     first, sets = {}, {}
     every = []
     for doc, text in sorted(docs):
         for i, line in enumerate((text or "").split("\n")):
             s = re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line).translate(LOWER)
-            if len(s) >= minimum:
+            if s:
                 every.append((doc, i, s))
                 first.setdefault(s, (doc, i))
-                sets[s] = {s[j : j + k] for j in range(len(s) - k + 1)}
+                sets[s] = {s[j : j + k] for j in range(len(s) - k + 1)} or {s}
     of = components(sets, similar(sets, num, den))
     least = {}
     for s, at in first.items():
