@@ -14,10 +14,10 @@ could link, so no link between different components is lost and no list is
 paired with itself.
 
 Members that lists connect form a block. A block of at most ``BLOCK_VALUES``
-values is filtered in one task; the blocks beyond go through joins by value.
+values is filtered in one task, where whole sets are compared at once; the blocks beyond go through joins by value.
 There, which sizes of a partner suffice at a place is part of the join key,
 and of each key's rows those of its most frequent component are never paired
-with each other. Both ways find the same pairs.
+with each other. Both ways lead to the same components.
 """
 
 from __future__ import annotations
@@ -56,13 +56,33 @@ def sample(values: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def block_pairs(node: np.ndarray, comp: np.ndarray, level: np.ndarray, held: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a block's nodes from different components that may link.
+    """Pairs of a block's nodes from different components: links that join what is apart so far, and what may link.
 
-    A pair is judged at the finest level that both nodes hold.
+    A pair is judged at the finest level that both nodes hold. Whole sets are
+    compared here, so of their pairs only links are returned, and only those
+    that join components; sampled ones are returned if they may link.
     """
-    found, size_found = [np.zeros((2, 0), np.int64)], 0
+    up = {k: k for k in comp.tolist()}
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    def joins(x: int, y: int, whole: bool) -> bool:
+        a, b = root(int(comp[x])), root(int(comp[y]))
+        if a == b or not whole:
+            return a != b
+        both = np.intersect1d(held[x], held[y], assume_unique=True).size
+        if den * both < num * (len(held[x]) + len(held[y]) - both):
+            return False
+        up[max(a, b)] = min(a, b)
+        return True
+
+    kept: list[tuple[int, int]] = []
     t = num / den
     for lv in np.unique(np.r_[level, np.maximum(level - 1, 0)]):
+        found, size_found = [np.zeros((2, 0), np.int64)], 0
         mine = np.flatnonzero((level == lv) | (level == lv + 1))
         sets = [held[i][: np.searchsorted(held[i], np.uint64(top(int(lv))), "right")] for i in mine]
         m = np.array([len(x) for x in sets])
@@ -102,8 +122,9 @@ def block_pairs(node: np.ndarray, comp: np.ndarray, level: np.ndarray, held: lis
                     size_found += len(y)
                 if size_found > 1 << 20:
                     found, size_found = [_once(found)], 0
-    x, y = _once(found)
-    return node[x], node[y]
+        kept += [(x, y) for x, y in _once(found).T.tolist() if joins(x, y, lv == 0)]
+    pairs = np.array(kept, np.int64).reshape(-1, 2)
+    return node[pairs[:, 0]], node[pairs[:, 1]]
 
 
 def _once(found: list[np.ndarray]) -> np.ndarray:
