@@ -300,8 +300,21 @@ class _ImageReader(_RangeReader):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + n)), pa.array(raw.astype(np.float64) * scale + zero, mask=null)], ["pixel_index", "value"])
 
 
+class _Unpushed(DataSourceReader):
+    """A reader for sessions that push no filters, which refuse a reader that takes them."""
+
+    def __init__(self, reader: _RangeReader):
+        self.reader = reader
+
+    def partitions(self):
+        return self.reader.partitions()
+
+    def read(self, part):
+        return self.reader.read(part)
+
+
 class FitsSource(DataSource):
-    """Options path, hdu, columns (tab-separated), bytes_per_partition."""
+    """Options path, hdu, columns (tab-separated), bytes_per_partition, first and count of rows or pixels, pushdown."""
 
     @classmethod
     def name(cls):
@@ -326,8 +339,13 @@ class FitsSource(DataSource):
         h, cols = self._unit()
         size = int(self.options.get("bytes_per_partition", str(64 << 20)))
         if h.kind == "image":
-            return _ImageReader(self.options["path"], h, max(1, size * 8 // abs(h.bitpix)))
-        return _TableReader(self.options["path"], h, cols, schema, max(1, size // max(1, h.row_bytes)))
+            found = _ImageReader(self.options["path"], h, max(1, size * 8 // abs(h.bitpix)))
+        else:
+            found = _TableReader(self.options["path"], h, cols, schema, max(1, size // max(1, h.row_bytes)))
+        if "first" in self.options:
+            first = int(self.options["first"])
+            found.lo, found.hi = max(found.lo, first), min(found.hi, first + int(self.options["count"]))
+        return found if self.options.get("pushdown") == "true" else _Unpushed(found)
 
 
 def cell_as_text(v) -> str:
@@ -347,9 +365,13 @@ def text_rows(path: str, h: Hdu, columns: list[Column]):
             yield [cell_as_text(v) for v in row]
 
 
-def read(spark: SparkSession, path: str, hdu: int = 0, columns: list[str] | None = None, bytes_per_partition: int = 64 << 20) -> DataFrame:
+def read(spark: SparkSession, path: str, hdu: int = 0, columns: list[str] | None = None, bytes_per_partition: int = 64 << 20, only: int | None = None) -> DataFrame:
+    """All rows or pixels of a unit, or the one numbered only; conditions narrow what is read if the session pushes filters."""
     spark.dataSource.register(FitsSource)
     r = spark.read.format("lumen_fits").option("path", path).option("hdu", str(hdu)).option("bytes_per_partition", str(bytes_per_partition))
+    r = r.option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower())
+    if only is not None:
+        r = r.option("first", str(only)).option("count", "1")
     return (r if columns is None else r.option("columns", "\t".join(columns))).load()
 
 
@@ -391,7 +413,7 @@ def _one(df: DataFrame, what: str):
 
 
 def pixel(spark, path: str, i: int, hdu: int = 0) -> float:
-    return _one(read(spark, path, hdu).where(F.col("pixel_index") == i), f"pixel {i}")
+    return _one(read(spark, path, hdu, only=i), f"pixel {i}")
 
 
 def mean(spark, path: str, hdu: int = 0) -> float:
@@ -400,7 +422,7 @@ def mean(spark, path: str, hdu: int = 0) -> float:
 
 def cell(spark, path: str, hdu: int, name: str, row: int, element: int | None = None):
     c = unit(path, hdu, "table").column(name)
-    df = read(spark, path, hdu, [name]).where(F.col("_ord") == row).select(F.col(f"`{c.name}`") if element is None else F.col(f"`{c.name}`")[element])
+    df = read(spark, path, hdu, [name], only=row).select(F.col(f"`{c.name}`") if element is None else F.col(f"`{c.name}`")[element])
     value = _one(df, f"{name} in row {row}")
     if isinstance(value, int) and not isinstance(value, bool) and abs(value) > SAFE:
         raise DataRefusal(f"{name} in row {row} is outside the exact range; read it as text")
@@ -409,7 +431,7 @@ def cell(spark, path: str, hdu: int, name: str, row: int, element: int | None =
 
 def cell_text(spark, path: str, hdu: int, name: str, row: int) -> str:
     c = unit(path, hdu, "table").column(name)
-    return _one(read(spark, path, hdu, [name]).where(F.col("_ord") == row).select(F.col(f"`{c.name}`").cast("string")), f"{name} in row {row}")
+    return _one(read(spark, path, hdu, [name], only=row).select(F.col(f"`{c.name}`").cast("string")), f"{name} in row {row}")
 
 
 def column_stats(spark, path: str, hdu: int, name: str) -> DataFrame:

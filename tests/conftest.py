@@ -17,6 +17,14 @@ def spark():
     s.stop()
 
 
+@pytest.fixture
+def plain(spark):
+    """The session while it pushes no filters into Python sources, as Spark does by default."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    yield spark
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
 @pytest.fixture
 def one(spark):
     """Value of one Column on one row."""

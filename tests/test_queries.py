@@ -25,5 +25,10 @@ def test_against_sql(spark, name):
     assert rows([r.asDict() for r in got.collect()], sorted(names)) == rows([dict(zip(names, r, strict=True)) for r in want.fetchall()], sorted(names))
 
 
+@pytest.mark.parametrize("name", ["fits_table_read", "fits_column_stats", "fits_image_and_cells", "fits_select_stats", "fits_export_csv", "plot_fits_scatter"])
+def test_fits_without_pushdown(plain, name):
+    test_against_sql(plain, name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1

@@ -123,6 +123,15 @@ def test_fits_reads_only_the_wanted_rows(spark, tmp_path):
     assert df.where("_ord = 1000").count() == 0 and df.where("_ord < 0").count() == 0 and fits.pixel(spark, p, 2) == 7.0
 
 
+def test_fits_cells_without_pushdown(plain, tmp_path):
+    p = table_file(tmp_path / "many.fits", COLUMNS, 1000, rows_of([(i, float(i), i % 100, b"x", b"T", 1, i, i) for i in range(1000)]))
+    assert fits.cell(plain, p, 1, "SOURCE_ID", 637) == 637 and fits.read(plain, p, 1).where("_ord >= 250 and _ord < 270 and QUALITY > 60").count() == 9
+    assert [r["_ord"] for r in fits.read(plain, p, 1, bytes_per_partition=40, only=999).collect()] == [999]
+    for row in (-1, 1000):
+        with pytest.raises(DataRefusal):
+            fits.cell(plain, p, 1, "SOURCE_ID", row)
+
+
 def test_fits_refuses(tmp_path, spark):
     good = rows_of([(1, 1.0, 1, b"x", b"T", 1, 1, 1)])
     twice = [dict(COLUMNS[0]), dict(COLUMNS[1], TTYPE="source_id"), *COLUMNS[2:]]
