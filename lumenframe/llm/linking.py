@@ -34,6 +34,9 @@ from . import common as c
 SAMPLE = 512
 SHORT = 8
 BLOCK_VALUES = 1 << 21
+#: Pairs of a block that are judged at once, and judged pairs that are remembered (others may be judged again).
+FLUSH = 1 << 16
+KNOWN = 1 << 21
 #: Partner sizes are told apart by this many classes to a factor of e.
 CLASSES = 50
 _EPS = 1e-6
@@ -55,40 +58,62 @@ def sample(values: np.ndarray) -> tuple[int, np.ndarray]:
     return level, values[: np.searchsorted(values, np.uint64(top(max(0, level - 1))), "right")]
 
 
-def block_pairs(node: np.ndarray, comp: np.ndarray, level: np.ndarray, held: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block's nodes from different components: links that join what is apart so far, and what may link.
+def block_pairs(node: np.ndarray, comp: np.ndarray, level: np.ndarray, held: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a block's nodes from different components, in parts: links that join what is apart so far, and what may link.
 
     A pair is judged at the finest level that both nodes hold. Whole sets are
     compared here, so of their pairs only links are returned, and only those
-    that join components; sampled ones are returned if they may link.
+    that join components; sampled ones are returned if they may link. Pairs
+    are judged as soon as FLUSH of them are found, so that a block of near
+    copies never holds all its pairs; links found by then spare later ones.
     """
-    up = {k: k for k in comp.tolist()}
+    names, at = np.unique(comp, return_inverse=True)
+    up, of_node = list(range(len(names))), at.tolist()
 
     def root(k: int) -> int:
         while up[k] != k:
             up[k] = k = up[up[k]]
         return k
 
-    def joins(x: int, y: int, whole: bool) -> bool:
-        a, b = root(int(comp[x])), root(int(comp[y]))
-        if a == b or not whole:
-            return a != b
-        both = np.intersect1d(held[x], held[y], assume_unique=True).size
-        if den * both < num * (len(held[x]) + len(held[y]) - both):
-            return False
-        up[max(a, b)] = min(a, b)
-        return True
-
-    kept: list[tuple[int, int]] = []
+    def roots() -> np.ndarray:
+        """The component so far of each node."""
+        now = np.array(up)
+        while (now[now] != now).any():
+            now = now[now]
+        return now[at]
+
+    def judge(found: list[np.ndarray], known: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs to return, known): known are pairs that have been judged at this level, not always all."""
+        pairs, now = _once(found), roots()
+        pairs = pairs[:, now[pairs[0]] != now[pairs[1]]]
+        keys = pairs[0] << 32 | pairs[1]
+        if len(known):
+            new = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] != keys
+            pairs, keys = pairs[:, new], keys[new]
+        known = keys if len(known) + len(keys) > KNOWN else np.sort(np.concatenate([known, keys]))
+        if not whole:
+            return pairs, known
+        kept: list[tuple[int, int]] = []
+        for lo in range(0, pairs.shape[1], 1 << 14):
+            for x, y in pairs[:, lo : lo + (1 << 14)].T.tolist():
+                a, b = root(of_node[x]), root(of_node[y])
+                if a == b:
+                    continue
+                both = np.intersect1d(held[x], held[y], assume_unique=True).size
+                if den * both >= num * (len(held[x]) + len(held[y]) - both):
+                    up[max(a, b)] = min(a, b)
+                    kept.append((x, y))
+        return np.array(kept, np.int64).reshape(-1, 2).T, known
+
     t = num / den
     for lv in np.unique(np.r_[level, np.maximum(level - 1, 0)]):
-        found, size_found = [np.zeros((2, 0), np.int64)], 0
         mine = np.flatnonzero((level == lv) | (level == lv + 1))
         sets = [held[i][: np.searchsorted(held[i], np.uint64(top(int(lv))), "right")] for i in mine]
         m = np.array([len(x) for x in sets])
         if m.sum() < 2:
             continue
         _, v, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        del sets
         of = np.repeat(np.arange(len(mine)), m)
         order = np.lexsort((v, often[v], of))
         v, left = v[order], np.repeat(np.cumsum(m), m) - np.arange(len(v))
@@ -97,8 +122,9 @@ def block_pairs(node: np.ndarray, comp: np.ndarray, level: np.ndarray, held: lis
         of, v, left = of[early], v[early], left[early]
         order = np.argsort(v, kind="stable")
         of, v, left = of[order], v[order], left[order]
-        r, c_ = (low / (1 + low))[of], comp[mine][of]
+        r, c_ = (low / (1 + low))[of], roots()[mine][of]
         size, coarse = m[of], (level[mine][of] > lv) | (lv == 0)
+        found, size_found, known = [], 0, np.zeros(0, np.int64)
 
         def fits(x, y, size=size, left=left, r=r, c_=c_, coarse=coarse):
             return (c_[x] != c_[y]) & (coarse[x] | coarse[y]) & (np.minimum(left[x], left[y]) >= np.minimum(r[x], r[y]) * (size[x] + size[y]) - _EPS)
@@ -112,19 +138,28 @@ def block_pairs(node: np.ndarray, comp: np.ndarray, level: np.ndarray, held: lis
             x = x[(y < len(v)) & (v[np.minimum(y, len(v) - 1)] == v[x])] if len(x) else x
             x = x[fits(x, x + d)]
             found.append(np.stack([mine[of[x]], mine[of[x + d]]]))
-        for at, k in zip(first[count > 32].tolist(), count[count > 32].tolist(), strict=True):
-            kinds, kind, often_ = np.unique(c_[at : at + k], return_inverse=True, return_counts=True)
+            size_found += len(x)
+            if size_found > FLUSH:
+                pairs, known = judge(found, known, lv == 0)
+                yield node[pairs[0]], node[pairs[1]]
+                c_[:] = roots()[mine][of]
+                found, size_found = [], 0
+        for lo, k in zip(first[count > 32].tolist(), count[count > 32].tolist(), strict=True):
+            kinds, kind, often_ = np.unique(c_[lo : lo + k], return_inverse=True, return_counts=True)
             if len(kinds) > 1:
-                every = np.arange(at, at + k)
+                every = np.arange(lo, lo + k)
                 for x in every[kind != often_.argmax()].tolist():
                     y = every[fits(np.full(k, x), every)]
                     found.append(np.stack([np.full(len(y), mine[of[x]]), mine[of[y]]]))
                     size_found += len(y)
-                if size_found > 1 << 20:
-                    found, size_found = [_once(found)], 0
-        kept += [(x, y) for x, y in _once(found).T.tolist() if joins(x, y, lv == 0)]
-    pairs = np.array(kept, np.int64).reshape(-1, 2)
-    return node[pairs[:, 0]], node[pairs[:, 1]]
+                    if size_found > FLUSH:
+                        pairs, known = judge(found, known, lv == 0)
+                        yield node[pairs[0]], node[pairs[1]]
+                        c_[:] = roots()[mine][of]
+                        found, size_found = [], 0
+        if size_found:
+            pairs, _ = judge(found, known, lv == 0)
+            yield node[pairs[0]], node[pairs[1]]
 
 
 def _once(found: list[np.ndarray]) -> np.ndarray:
@@ -140,21 +175,21 @@ def _blocks(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
-        def finish() -> pa.RecordBatch:
+        def finish() -> Iterator[pa.RecordBatch]:
             _, node, comp, level, held = zip(*rows, strict=True)
-            x, y = block_pairs(np.array(node), np.array(comp), np.array(level), list(held), num, den)
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+            rows.clear()
+            for x, y in block_pairs(np.array(node), np.array(comp), np.array(level), list(held), num, den):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
         for batch in batches:
             off, flat = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy().view(np.uint64)
             held = [flat[a:b].copy() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             for row in zip(*[batch.column(i).to_pylist() for i in range(4)], held, strict=True):
                 if rows and row[0] != rows[-1][0]:
-                    yield finish()
-                    rows.clear()
+                    yield from finish()
                 rows.append(row)
         if rows:
-            yield finish()
+            yield from finish()
 
     return run
 

@@ -76,6 +76,28 @@ def test_lists_lose_no_link_between_components(spark, monkeypatch, short, block)
         assert len(set(asked)) < 120 * 119 / 4
 
 
+@pytest.mark.parametrize("flush", [1, 1 << 16])
+def test_a_block_never_holds_all_its_pairs(monkeypatch, flush):
+    import tracemalloc
+
+    from lumenframe.llm import linking
+
+    n = 400 if flush == 1 else 2000
+    monkeypatch.setattr(linking, "FLUSH", flush, raising=False)
+    monkeypatch.setattr(linking, "KNOWN", 1 << 10, raising=False)
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 62, 60, dtype=np.uint64)
+    # near copies in three groups of different values; within a group every pair links
+    sets = [np.sort(np.r_[base[1:] + np.uint64(i % 3), rng.integers(1, 1 << 62, 1, dtype=np.uint64)]) for i in range(n)]
+    tracemalloc.start()
+    found = linking.block_pairs(np.arange(n), np.arange(n), np.zeros(n, np.int64), sets, 80, 100)
+    links = np.concatenate([np.stack(x, 1) for x in (found if not isinstance(found, tuple) else [found])])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(links) == n - 3 and (links[:, 0] % 3 == links[:, 1] % 3).all()
+    assert peak < 48 << 20
+
+
 def test_samples_of_likely_sizes_hold_what_others_are_judged_by():
     rng = np.random.default_rng(4)
     every = np.sort(rng.integers(0, 2**63, 3000, dtype=np.uint64))
