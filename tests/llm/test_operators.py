@@ -46,6 +46,24 @@ def test_components(spark):
     assert got == brute.components(nodes, edges)
 
 
+@pytest.mark.parametrize("held", [0, 1 << 21])
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch, held):
+    # every round of jobs leaves threads, plans and compiled classes in the driver's memory
+    monkeypatch.setattr(common, "TASK_LINKS", held, raising=False)
+    rng = np.random.default_rng(4)
+    names = rng.permutation(4000).tolist()
+    path = list(zip(names[:1000], names[1:1000], strict=False))
+    edges = path + [(names[1000], x) for x in names[1001:2000]] + [(int(a), int(b)) for a, b in rng.integers(2000, 4000, (1500, 2))] + [(None, 5), (6, None)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    spark.sparkContext.setJobGroup(f"components{held}", "")
+    got = {r["node"]: r["comp"] for r in common.connected_components(table).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"components{held}")
+    links = [e for e in edges if None not in e and e[0] != e[1]]
+    assert got == brute.components({x for e in links for x in e}, links)
+    if held:
+        assert len(jobs) <= 8
+
+
 @pytest.mark.parametrize(("short", "block"), [(1, 1 << 21), (1, 0), (100, 0)])
 def test_lists_lose_no_link_between_components(spark, monkeypatch, short, block):
     monkeypatch.setattr(linking, "SHORT", short)
