@@ -165,10 +165,12 @@ def train(docs: DataFrame) -> DataFrame:
     counts = {4: four}
     for order in (3, 2, 1):
         mask = (1 << (16 * order)) - 1
-        counts[order] = counts[order + 1].groupBy("lang", F.col("g").bitwiseAND(mask).alias("g")).agg(F.count("*").alias("c"))
+        counts[order] = c.saved(counts[order + 1].groupBy("lang", F.col("g").bitwiseAND(mask).alias("g")).agg(F.count("*").alias("c")), f"grams{order}")
+    # each order is written, as one plan of all four would hold every order's counts several times and be planned anew after each of its stages
     p = None
-    for order in (1, 2, 3, 4):
-        p = _with_kn(counts[order], order, p)
+    for order in (1, 2, 3):
+        p = c.saved(_with_kn(counts[order], order, p).select("lang", "g", "p"), f"model{order}")
+    p = _with_kn(four, 4, p)
     return c.saved(p.select("lang", "g", F.log("p").cast("float").alias("logp"), F.least("c", F.lit(MOST)).cast("int").alias("c"), F.log("b").cast("float").alias("logb")), "model4")
 
 

@@ -293,6 +293,19 @@ def test_near_dedup_of_a_large_group(spark, tmp_path):
     assert got == {d: (of[d], of[d] == d) for d in of}
 
 
+def test_quality_model_is_never_one_large_plan(spark, small, monkeypatch):
+    # a plan is planned anew after each of its stages, all of it in the driver's memory
+    plans, save = [], common.saved
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return save(df, name)
+
+    monkeypatch.setattr(common, "saved", seen)
+    quality.train(spark.read.parquet(f"{small[0]}/documents.parquet").select(F.col("text").alias("_text"), F.col("lang").alias("_lang"))).count()
+    assert plans and max(plans) <= 8
+
+
 @pytest.mark.parametrize("which", ["small", "edge"])
 def test_media(spark, request, which):
     folder, rows = request.getfixturevalue(which)
