@@ -234,6 +234,37 @@ def test_piece_codec_follows_the_library(spark, request, which):
     assert got == ordered((d, len(ids := sp.encode(t or "")), zlib.crc32(" ".join(map(str, ids)).encode())) for d, t, _ in rows)
 
 
+def shuffled(spark) -> int:
+    """Bytes that all shuffles of the session have written so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    every = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+
+@pytest.mark.parametrize("hot", [0, 40])
+def test_piece_digest_of_words_that_are_not_broadcast(spark, edge, hot):
+    import sentencepiece
+
+    folder, rows = edge
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path(pieces.MODEL))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    got = by_doc(pieces.digest(docs, hot_words=hot, window=500), "n_words", "n_tokens", "ids_crc32", "round_trip")
+    assert got == ordered((d, len(pieces.split(t or "")), len(ids := sp.encode(t or "")), zlib.crc32(" ".join(map(str, ids)).encode()), True) for d, t, _ in rows)
+
+
+def test_piece_digest_moves_no_text(spark):
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(8)) for _ in range(600)]
+    texts = ["\n".join(rng.choice(words) for _ in range(8000)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    docs = common.saved(docs, "docs")
+    before = shuffled(spark)
+    assert all(r["round_trip"] for r in pieces.digest(docs, hot_words=590).collect())
+    assert shuffled(spark) - before < sum(map(len, texts)) // 8
+
+
 @pytest.mark.parametrize("merges", [False, True])
 def test_long_words_are_not_cut(spark, merges):
     import random
