@@ -16,6 +16,8 @@ of the text, line number) of a component stays.
 List keys travel in blobs, dealt by the key. Members of a list that one task
 already finds together need not meet again: one of them stands for all, so a
 list that a third of all lines share sends one entry for each window of a task.
+Contents of listed lines are read where they stand, by broadcast bits of their
+hashes and a join of what these let through; whole texts are not moved.
 
 Defined results: a row is known by its doc_id and text, so rows that share a
 doc_id are judged apart, and of equal rows one only keeps judged lines; null
@@ -47,6 +49,8 @@ MANY = 128
 NUM, DEN = 80, 100
 WINDOW = 1 << 19
 TRIMS = 8
+#: As a power of two, most bits that tell lines which may be wanted from others (16 MB).
+MARKS = 27
 BLOCK = 1 << 18
 _U = np.uint64
 _MUL = ((c._stream(BANDS * ROWS, 61) >> _U(32)) | _U(1)).astype(np.uint32)
@@ -282,20 +286,39 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(key[order][keep], node[order][keep])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, content) of the wanted lines of each row (text, lines)."""
-    for batch in batches:
-        wanted = batch.column(1)
-        for b in c.blocks(batch.column(0)):
-            s, e, doc, number = line_spans(b)
-            low = lowered(b)
-            lists = wanted.slice(b.rows.start, len(b)).to_pylist()
-            line = np.array([x for w in lists for x in w], np.int64)
-            of = np.repeat(np.arange(len(b)), [len(w) for w in lists])
-            hit = np.isin(doc << 32 | number, of << 32 | line)
-            s, e = s[hit], e[hit]
-            raw = low.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(content_ids(low, s, e)), pa.array([raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())], ["node", "content"])
+def _marks(nodes: DataFrame):
+    """Broadcast bits, a bounded number, of which those that the nodes end in are set."""
+    size = 1 << max(15, min(MARKS, (32 * nodes.count()).bit_length()))
+    place = F.col("node").bitwiseAND(F.lit(size - 1)) + 1
+    rows = nodes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bits = np.zeros((size >> 15, 1 << 12), np.uint8)
+    for row in rows.toArrow().to_batches():
+        for bucket, raw in zip(row.column(0).to_pylist(), row.column(1).to_pylist(), strict=True):
+            bits[bucket - 1] = np.frombuffer(raw, np.uint8)
+    return nodes.sparkSession.sparkContext.broadcast(bits.ravel())
+
+
+def _texts(marks):
+    """(node, content) of the lines of texts that may be wanted, once for each window of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = marks.value, set()
+        for batch in batches:
+            for b in c.blocks(batch.column(0)):
+                s, e, _, _ = line_spans(b)
+                low = lowered(b)
+                node = content_ids(low, s, e)
+                place = node & (8 * len(bits) - 1)
+                hit = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                hit = hit[np.sort(np.unique(node[hit], return_index=True)[1])]
+                new = [i for i, x in zip(hit.tolist(), node[hit].tolist(), strict=True) if x not in seen]
+                seen.update(node[new].tolist())
+                if len(seen) > WINDOW:
+                    seen.clear()
+                raw = low.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array([raw[x:y] for x, y in zip(s[new].tolist(), e[new].tolist(), strict=True)], pa.binary())], ["node", "content"])
+
+    return run
 
 
 def _spans(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -334,7 +357,8 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 512):
             h, bounds = _spans(batch.column(1).slice(lo, 512).to_pylist())
             level, held = zip(*[sample(np.unique(x)) for x in np.split(h >> _U(1), bounds[1:-1])], strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), pa.array(level, pa.int32()), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))], ["node", "level", "held"])
+            nodes = [batch.column(i).slice(lo, 512) for i in (0, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*nodes, pa.array(level, pa.int32()), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))], ["node", "comp", "block", "level", "held"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -351,18 +375,16 @@ def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = c.saved(blobs.repartitionById(width, F.col("part")).mapInArrow(_meet, "key long, node long"), "postings")
     judged = lines.where("line >= 0")
     place = c.saved(judged.groupBy("node").agg(F.min(F.struct("_id", "th", "line")).alias("at"), F.count("*").alias("n")), "places")
-    wanted = lists.select("node").distinct()
-    where = wanted.join(place, "node").groupBy("at._id", "at.th").agg(F.collect_list("at.line").alias("lines"))
-    where = where.select(F.col("_id").alias("_of"), F.col("th").alias("_th"), "lines")
-    found = keyed.join(where, keyed["_id"].eqNullSafe(where["_of"]) & (keyed["th"] == where["_th"])).select("text", "lines").mapInArrow(_texts, "node long, content binary")
-    texts = c.saved(found.dropDuplicates(["node"]), "line-texts")
+    wanted = c.saved(lists.select("node").distinct(), "wanted")
+    found = docs.where("text is not null").select("text").mapInArrow(_texts(_marks(wanted)), "node long, content binary")
+    texts = c.saved(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ta, tb = (texts.select(F.col("node").alias(s), F.col("content").alias(f"t{s}")) for s in "ab")
         return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
 
     def values(nodes: DataFrame) -> DataFrame:
-        return texts.join(nodes, "node").select("node", "content").mapInArrow(_samples, "node long, level int, held array<long>")
+        return texts.join(nodes, "node").select("node", "content", "comp", "block").mapInArrow(_samples, "node long, comp long, block long, level int, held array<long>")
 
     label = components(lists, verify, values, NUM, DEN)
     # a content stands for itself unless a component holds it; the first line of each component stays

@@ -196,16 +196,17 @@ def _blocks(num: int, den: int):
 
 def _far_pairs(lists: DataFrame, values: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """(x, y): all pairs from different components that may link, of the nodes in lists(key, node, comp)."""
-    nodes = c.saved(lists.select("node", "comp").distinct(), "far")
-    sets = c.saved(values(nodes.select("node")).join(nodes, "node"), "samples")
     ends = lists.groupBy("key").agg(F.min("node").alias("end"))
     block = c.connected_components(lists.join(ends, "key").select(F.col("node").alias("a"), F.col("end").alias("b")))
-    sized = sets.join(block.withColumnRenamed("comp", "block"), "node")
-    large = c.saved(sized.groupBy("block").agg(F.sum(F.size("held")).alias("n")).where(F.col("n") > BLOCK_VALUES).select("block"), "large-blocks")
-    whole = sized.join(large, "block", "left_anti").repartition("block").sortWithinPartitions("block").select("block", "node", "comp", "level", "held")
-    pairs = whole.mapInArrow(_blocks(num, den), "x long, y long")
-    if large.limit(1).count():
-        rest = c.saved(sized.join(large, "block", "left_semi").select(sets.columns), "large")
+    nodes = c.saved(lists.select("node", "comp").distinct().join(block.withColumnRenamed("comp", "block"), "node"), "far")
+    # sets are large: they carry their block from here on, so that no join moves them to it
+    sets = c.saved(values(nodes).select("block", "node", "comp", "level", "held"), "samples")
+    large = c.saved(sets.groupBy("block").agg(F.sum(F.size("held")).alias("n")).where(F.col("n") > BLOCK_VALUES).select("block"), "large-blocks")
+    some = large.limit(1).count()
+    whole = sets.join(large, "block", "left_anti") if some else sets
+    pairs = whole.repartition("block").sortWithinPartitions("block").select("block", "node", "comp", "level", "held").mapInArrow(_blocks(num, den), "x long, y long")
+    if some:
+        rest = c.saved(sets.join(large, "block", "left_semi").select("node", "comp", "level", "held"), "large")
         pairs = pairs.unionByName(_prefix_pairs(rest, num, den))
     return pairs
 
@@ -277,7 +278,7 @@ def components(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], value
 
     verify takes distinct pairs (a, b) with a < b and returns those that
     link, that is den * intersection >= num * union of their sets; values
-    takes nodes and returns (node, level, held), see sample.
+    takes nodes(node, comp, block) and returns them with (level, held), see sample.
     """
     lists = lists.select("key", "node").distinct()
     sizes = lists.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")

@@ -149,18 +149,19 @@ def _listed_texts(docs: DataFrame, sets: DataFrame, lists: DataFrame) -> DataFra
 
 
 def _samples(texts: DataFrame, words: int):
-    """nodes -> (node, level, held): a sample of each node's full set, see linking.sample."""
+    """nodes -> nodes with (level, held): a sample of each node's full set, see linking.sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0)
-            for b in c.blocks(batch.column(1)):
+            nodes = [batch.column(i) for i in range(3)]
+            for b in c.blocks(batch.column(3)):
                 h, first, which = _block_sets(b, words)
                 sets = np.split(h, first[1:]) if len(first) else []
                 level, held = zip(*map(sample, sets), strict=True) if sets else ((), ())
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(b.rows.start + which)), pa.array(level, pa.int32()), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))], ["node", "level", "held"])
+                at = pa.array(b.rows.start + which)
+                yield pa.RecordBatch.from_arrays([*[x.take(at) for x in nodes], pa.array(level, pa.int32()), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))], ["node", "comp", "block", "level", "held"])
 
-    return lambda nodes: texts.withColumnRenamed("set_id", "node").join(nodes, "node").select("node", "text").mapInArrow(run, "node long, level int, held array<long>")
+    return lambda nodes: texts.withColumnRenamed("set_id", "node").join(nodes, "node").select("node", "comp", "block", "text").mapInArrow(run, "node long, comp long, block long, level int, held array<long>")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_bits: int = 63) -> DataFrame:

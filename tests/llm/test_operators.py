@@ -23,6 +23,22 @@ def ordered(rows):
     return sorted(rows, key=repr)
 
 
+def shuffled(spark) -> int:
+    """Bytes that all shuffles of the session have written so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    every = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    """The session as it joins tables that are too large to broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
@@ -94,6 +110,18 @@ def test_lists_lose_no_link_between_components(spark, monkeypatch, short, block)
         assert len(set(asked)) < 120 * 119 / 4
 
 
+def test_sets_of_a_block_are_moved_twice_at_most(unbroadcast):
+    spark = unbroadcast
+    rng = np.random.default_rng(6)
+    held = {i: linking.sample(np.unique(rng.integers(0, 2**63, 2000, dtype=np.uint64))) for i in range(60)}
+    table = common.saved(spark.createDataFrame([(i, int(level), [int(x) for x in v]) for i, (level, v) in held.items()], "node long, level int, held array<long>"), "sets")
+    lists = spark.createDataFrame([(1, i) for i in held], "key long, node long")
+    before = shuffled(spark)
+    assert linking.components(lists, lambda pairs: pairs.where("false"), lambda nodes: table.join(nodes, "node"), 85, 100).count() == 0
+    # to the nodes that are asked for, and to their block
+    assert shuffled(spark) - before < 3 * 8 * sum(len(v) for _, v in held.values())
+
+
 @pytest.mark.parametrize("flush", [1, 1 << 16])
 def test_a_block_never_holds_all_its_pairs(monkeypatch, flush):
     import tracemalloc
@@ -234,13 +262,6 @@ def test_piece_codec_follows_the_library(spark, request, which):
     assert got == ordered((d, len(ids := sp.encode(t or "")), zlib.crc32(" ".join(map(str, ids)).encode())) for d, t, _ in rows)
 
 
-def shuffled(spark) -> int:
-    """Bytes that all shuffles of the session have written so far."""
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    every = spark.sparkContext._jsc.sc().statusStore().executorList(False)
-    return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
-
-
 @pytest.mark.parametrize("hot", [0, 40])
 def test_piece_digest_of_words_that_are_not_broadcast(spark, edge, hot):
     import sentencepiece
@@ -442,6 +463,20 @@ def test_line_dedup(spark, small, tmp_path):
     assert out == {(None, 1, ()), (1, 3, (0, 3)), (2, 3, (0, 1)), (3, 0, ()), (4, 0, ())}
 
 
+def test_line_dedup_moves_no_whole_text(unbroadcast):
+    import random
+
+    spark, rng = unbroadcast, random.Random(9)
+    line = lambda: "".join(rng.choice("etaoinshrdlu0123456789") for _ in range(5000))
+    texts = ["\n".join(line() for _ in range(10)) for _ in range(40)]
+    texts = [t + "\n" + (texts[i - 1][:4990] if i % 2 else line()) for i, t in enumerate(texts)]
+    docs = common.saved(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "docs")
+    before = shuffled(spark)
+    got = by_doc(line_dedup.line_digest(docs), "n_judged", "dropped_lines")
+    assert got == [(i, 11, [10] if i % 2 else []) for i in sorted(range(40), key=lambda i: repr((i, 11, [10] if i % 2 else [])))]
+    assert shuffled(spark) - before < sum(map(len, texts)) // 2
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     same, own = "a line that stands in both of these rows", "this line is the only one of its kind"
     rows = [(8, same), (8, f"{same}\n{own}"), (9, "one\n\ntwo"), (9, "one\n\ntwo"), (10, f"three\n{same}")]
