@@ -22,7 +22,8 @@ MULTIPLIER = 6364136223846793005
 MASK = (1 << 64) - 1
 SAFE = 2**53 - 1
 MAX_STREAMS = 1024
-MAX_SELECTIONS = 1_000_000
+#: Rows of a place and a number that are sent to every task, some 20 MB; more meet the other side by shuffle.
+TASK_ROWS = 1 << 19
 
 
 def jump(state: int, increment: int, steps: int) -> int:
@@ -135,45 +136,56 @@ def uniform_frame(spark: SparkSession, seed: int, stream: int, n: int, chunk: in
 def index_frame(spark: SparkSession, seed: int, stream: int, n: int, size: int, chunk: int = 1 << 16) -> DataFrame:
     """(i, idx): n draws below size, each chunk drawn by the task that holds it.
 
-    A rejected word would move all later draws. That has a chance of size in
-    2**64 a draw; then the draws are those of one serial run.
+    A rejected word moves all later draws by one. That has a chance of size in
+    2**64 a draw, so that the places of such words are few: every task gets them.
     """
     start, reject = Stream(seed, stream), (1 << 64) % size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in batch.column(0).to_pylist():
-                own = Stream(seed, stream)
-                own.state = jump(start.state, start.increment, 2 * lo)
-                k = min(chunk, n - lo)
-                w = own.words(2 * k).astype(np.uint64)
-                wide = (w[::2] << np.uint64(32)) | w[1::2]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + k)), pa.array((wide % np.uint64(size)).astype(np.int64)), pa.array(wide < np.uint64(reject))], ["i", "idx", "rejected"])
+    def words(m: int, skipped: np.ndarray) -> DataFrame:
+        """The first m words as draws, numbered without those that are skipped."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in batch.column(0).to_pylist():
+                    own = Stream(seed, stream)
+                    own.state = jump(start.state, start.increment, 2 * lo)
+                    k = min(chunk, m - lo)
+                    w = own.words(2 * k).astype(np.uint64)
+                    wide = (w[::2] << np.uint64(32)) | w[1::2]
+                    i = np.arange(lo, lo + k)
+                    yield pa.RecordBatch.from_arrays([pa.array(i - np.searchsorted(skipped, i)), pa.array((wide % np.uint64(size)).astype(np.int64)), pa.array(wide < np.uint64(reject))], ["i", "idx", "rejected"])
+
+        return spark.range(0, m, chunk).mapInArrow(run, "i long, idx long, rejected boolean")
 
-    drawn = spark.range(0, n, chunk).mapInArrow(run, "i long, idx long, rejected boolean")
-    if drawn.where("rejected").limit(1).count():
-        return spark.createDataFrame(pa.table({"i": np.arange(n), "idx": Stream(seed, stream).indices(n, size)}))
-    return drawn.select("i", "idx")
+    m, skipped = n, np.empty(0, np.int64)
+    while True:
+        skipped = np.array(sorted(r["i"] for r in words(m, skipped[:0]).where("rejected").select("i").collect()), np.int64)
+        if m == n + len(skipped):
+            return words(m, skipped).where("not rejected").select("i", "idx")
+        m = n + len(skipped)
 
 
 def selections(spark: SparkSession, seed: int, stream: int, reps: int, size: int) -> DataFrame:
     """(rep, pos, idx): reps samples of size draws with replacement."""
-    if reps * size > MAX_SELECTIONS:
-        raise RandomRefusal(f"more than {MAX_SELECTIONS} selections")
     drawn = index_frame(spark, seed, stream, reps * size, size)
     return drawn.select(F.expr(f"i div {size}").alias("rep"), (F.col("i") % size).alias("pos"), "idx")
 
 
+def _looked_up(picks: DataFrame, rows: DataFrame, sent: str) -> DataFrame:
+    """picks with the row at each place; the planner takes draws for as few rows as they have chunks, so the side that is sent is set here: picks, rows or neither."""
+    if sent == "rows":
+        return picks.join(F.broadcast(rows), "_ord")
+    return (F.broadcast(picks) if sent == "picks" else picks.hint("merge")).join(rows, "_ord")
+
+
 def resample(df: DataFrame, column: str, order: str, n: int, seed: int, stream: int = 0) -> DataFrame:
     """(pos, value): n draws with replacement from the rows in this order."""
     rows = with_ordinal(df.select(order, column), order)
     size = rows.count()
     if not size:
         raise RandomRefusal("nothing to draw from")
-    if n > MAX_SELECTIONS:
-        raise RandomRefusal(f"more than {MAX_SELECTIONS} selections")
     picks = index_frame(df.sparkSession, seed, stream, n, size).select(F.col("i").alias("pos"), F.col("idx").alias("_ord"))
-    return picks.join(rows, "_ord").select("pos", F.col(column).alias("value"))
+    return _looked_up(picks, rows, "picks" if n <= TASK_ROWS else "neither").select("pos", F.col(column).alias("value"))
 
 
 def bootstrap(df: DataFrame, column: str, order: str, reps: int, statistic: str, seed: int, stream: int = 0) -> DataFrame:
@@ -182,6 +194,7 @@ def bootstrap(df: DataFrame, column: str, order: str, reps: int, statistic: str,
     size = rows.count()
     if not size:
         raise RandomRefusal("nothing to draw from")
-    picks = selections(df.sparkSession, seed, stream, reps, size).withColumnRenamed("idx", "_ord")
+    picks = selections(df.sparkSession, seed, stream, reps, size).select("rep", F.col("idx").alias("_ord"))
+    drawn = _looked_up(picks, rows.select("_ord", column), "rows" if size <= TASK_ROWS else "neither")
     f = {"mean": F.avg, "median": F.median}[statistic]
-    return picks.join(rows, "_ord").groupBy("rep").agg(f(column).alias("value"))
+    return drawn.groupBy("rep").agg(f(column).alias("value"))

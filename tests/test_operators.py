@@ -170,6 +170,26 @@ def test_resampling(spark):
     assert got == pytest.approx([float(np.mean(10.0 * (i + 1))) for i in idx])
 
 
+def test_draws_go_on_after_rejected_words(spark):
+    # one word in 2049 is rejected
+    size, n = 2**64 // 2049 + 1, 20_000
+    got = [r["idx"] for r in random.index_frame(spark, 4, 1, n, size, chunk=1 << 10).orderBy("i").collect()]
+    assert (random.Stream(4, 1).words(2 * n)[::2].astype(np.uint64) << np.uint64(32) < np.uint64(2**64 % size)).any()
+    assert got == random.Stream(4, 1).indices(n, size).tolist()
+
+
+@pytest.mark.parametrize("sent", [1 << 19, 1])
+def test_bootstrap_of_many_rows(spark, monkeypatch, sent):
+    # more than a million draws, whose values are sent to the tasks or shuffled
+    monkeypatch.setattr(random, "TASK_ROWS", sent, raising=False)
+    n, reps = 400_000, 3
+    df = spark.range(n).select("id", (F.col("id") * 7919 % n).cast("double").alias("v")).repartition(5)
+    idx = random.Stream(9, 1).indices(reps * n, n).reshape(reps, n)
+    got = [r["value"] for r in random.bootstrap(df, "v", "id", reps, "mean", 9, 1).orderBy("rep").collect()]
+    assert got == pytest.approx([float(np.mean(i * 7919 % n)) for i in idx], rel=1e-12)
+    assert random.resample(df, "v", "id", 1_100_000, 9, 1).agg(F.count("*"), F.max("pos")).first() == (1_100_000, 1_099_999)
+
+
 def test_matrices(spark):
     a = [4.0, 2.0, 2.0, 3.0]
     low = np.array(matrix.cholesky(a, 2, 1e-12)).reshape(2, 2)
