@@ -19,6 +19,12 @@ from ..functions.arrays import total
 from ..session import saved
 
 
+#: Values of a bin that are told apart one by one, and bins into which a larger one is cut.
+BINS = 1 << 16
+#: Open bins that are sent to every task, some 4 MB.
+SENT_BINS = 1 << 16
+
+
 def neumaier(values: np.ndarray, s: float = 0.0, c: float = 0.0) -> tuple[float, float]:
     for x in values.tolist():
         t = s + x
@@ -141,7 +147,7 @@ def scaled_mean(x) -> Column:
 
 
 def quantile(x, p: float) -> Column:
-    """Exact type-7 quantile."""
+    """Exact type-7 quantile; one task holds the distinct values of a group, see quantiles for more of them."""
     if not 0 <= p <= 1:
         raise NumericRefusal("a quantile lies between 0 and 1")
     x = F.col(x) if isinstance(x, str) else x
@@ -152,6 +158,65 @@ def median(x) -> Column:
     return quantile(x, 0.5)
 
 
+def _sixteenth(x: Column) -> Column:
+    """A number that does not fall where x grows: sixteen a power of two, none shared by both signs."""
+    size = F.floor(F.log2(F.abs(x)) * 16).cast("double") + 32768.0
+    return F.when(F.isnan(x), 1e6).when(F.abs(x) == float("inf"), F.signum(x) * 1e5).when(x == 0, 0.0).otherwise(F.signum(x) * size)
+
+
+def quantiles(df: DataFrame, column: str, points: dict[str, float], *by: str) -> DataFrame:
+    """(by, one column a point): exact type-7 quantiles of the values that are not NULL, as quantile() gives them, for any number of values.
+
+    No task holds a group. Its values are counted by bins, then those of the bins
+    with a wanted place by finer bins, until each such bin is one value. The rows
+    are read once a round (about three), so a costly df is better saved first.
+    """
+    if not all(0 <= p <= 1 for p in points.values()):
+        raise NumericRefusal("a quantile lies between 0 and 1")
+    keys = [f"_by{i}" for i in range(len(by))] or ["_all"]
+    x = F.col(column).cast("double") + 0.0  # one zero
+    rows = df.select(*([F.col(c).alias(k) for c, k in zip(by, keys, strict=True)] if by else [F.lit(0).alias("_all")]), x.alias("_x"))
+    place = {name: F.lit(float(p)) * (F.col("_total") - 1) for name, p in points.items()}
+    holds = lambda at: (F.col("_before") <= at) & (at < F.col("_before") + F.col("_n"))
+    counts = [F.count("_x").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
+    wanted = F.col("_total") == 0
+    for at in place.values():
+        wanted = wanted | holds(F.floor(at)) | holds(F.ceil(at))
+
+    def placed(bins: DataFrame, inside: list[str], start: Column) -> DataFrame:
+        """Bins with the number of values before them, those with a wanted place only; a window holds BINS bins at most, or those of all sixteenths."""
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*inside).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return saved(bins.withColumn("_before", start + before).where(wanted).select(*keys, "_total", "_before", "_n", "_lo", "_hi"), "bins")
+
+    first = rows.groupBy(*keys, _sixteenth(F.col("_x")).alias("_bin")).agg(*counts)
+    found = placed(first.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys))), keys, F.lit(0))
+    done = []
+    while True:
+        single = F.col("_lo").eqNullSafe(F.col("_hi"))
+        done.append(found.where(single))
+        left = found.where(~single).select(*[F.col(k).alias(f"{k}_") for k in keys], "_total", F.col("_before").alias("_start"), F.col("_n").alias("_size"), F.col("_lo").alias("_least"), F.col("_hi").alias("_most"))
+        n = left.count()
+        if not n:
+            break
+        inside = (F.col("_x") >= F.col("_least")) & (F.col("_x") <= F.col("_most"))
+        for k in keys:
+            inside = inside & F.col(k).eqNullSafe(F.col(f"{k}_"))
+        cut = F.floor((F.col("_x") - F.col("_least")) / (F.col("_most") - F.col("_least")) * (BINS - 1)).cast("double")
+        finer = rows.join(F.broadcast(left) if n <= SENT_BINS else left, inside).groupBy(*keys, "_total", "_start", F.when(F.col("_size") <= BINS, F.col("_x")).otherwise(cut).alias("_bin")).agg(*counts)
+        found = placed(finer, [*keys, "_start"], F.col("_start"))
+
+    values = done[0]
+    for more in done[1:]:
+        values = values.unionByName(more)
+    values = values.groupBy(*(keys if by else [])).agg(F.coalesce(F.max("_total"), F.lit(0)).alias("_total"), *[F.max(F.when(holds(f(at)), F.col("_lo"))).alias(f"{name}_{side}") for name, at in place.items() for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    out = []
+    for name, at in place.items():
+        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        value = F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
+        out.append(F.when(F.col("_total") == 0, F.raise_error(F.lit("G601: fewer than 1 values"))).otherwise(value).alias(name))
+    return values.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *out)
+
+
 def ecdf(x, q: float) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     return _nonempty(F.count_if(x <= q) / F.count(x), x)

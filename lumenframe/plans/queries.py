@@ -106,7 +106,8 @@ def column_stats(spark, d):
     "SELECT round(quantile_cont(o_totalprice::DOUBLE, 0.25::DOUBLE), 6) AS q25, round(quantile_cont(o_totalprice::DOUBLE, 0.5::DOUBLE), 6) AS q50, round(quantile_cont(o_totalprice::DOUBLE, 0.9::DOUBLE), 6) AS q90 FROM orders"
 )
 def quantile_type7(spark, d):
-    return table(spark, d, "orders").agg(*[r(stats.quantile("o_totalprice", p)).alias(f"q{int(p * 100)}") for p in (0.25, 0.5, 0.9)])
+    points = {f"q{int(p * 100)}": p for p in (0.25, 0.5, 0.9)}
+    return stats.quantiles(table(spark, d, "orders"), "o_totalprice", points).select(*[r(c).alias(c) for c in points])
 
 
 @query("SELECT o_orderpriority, round(median(o_totalprice), 6) AS middle, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY 1")
